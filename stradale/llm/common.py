@@ -101,3 +101,24 @@ def map_texts(
                 )
 
     return src.mapInArrow(run, out)
+
+
+def rewrite_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """Arrow pass over whole rows: `make()` gives texts -> new texts, or booleans (rows to keep).
+
+    All columns pass through as they are, so nothing is shuffled or joined back.
+    """
+    ship(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches):
+        work = make()
+        for whole in batches:
+            for b in slices(whole, at):
+                got = work(b.column(at).to_pylist())
+                if got and isinstance(got[0], bool):
+                    yield b.filter(pa.array(got, pa.bool_()))
+                else:
+                    yield b.set_column(at, b.schema.field(at), pa.array(got, b.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
