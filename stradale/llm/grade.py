@@ -2,8 +2,8 @@
 
 P(grade <= k) = logistic(theta_k - w.x) with one shared weight vector over hashed text features and
 ordered thresholds. Features are the distinct words of a text (lower-cased, outer punctuation
-stripped) and binned shape measures, hashed to WIDTH numbers; words in fewer than MIN_DOCS sample
-documents carry no weight. The model is fitted here on a bounded sample of rated documents by
+stripped) and binned shape measures, hashed to WIDTH numbers; features in fewer than MIN_DOCS sample
+documents, or without a clear association with the rating, carry no weight. The model is fitted here on a bounded sample of rated documents by
 Adam on the whole sample.
 
 Ratings come from labels: 0 for low quality, 1 for toxic but otherwise good, 2 for good.
@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 from .common import map_texts, ship
 
 WIDTH = 1 << 18
-SAMPLE_DOCS = 6000
-MIN_DOCS = 4
+SAMPLE_DOCS = 20_000
+#: Ratings weigh as the power -BALANCE of their grade's share.
+BALANCE = 0.5
+MIN_DOCS = 8
+#: Features enter if their documents' mean rating is so many standard errors from the mean of all.
+SCREEN = 4.0
 GRADES = 3
 KEEP_TAIL = 0.5
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|#*$%&-"
@@ -111,7 +115,7 @@ class Model:
         return [(float(a.sum()), float(a[-1]), float(a[0]), bool(a[-1] >= KEEP_TAIL)) for a in above]
 
 
-def train(rows: list[list[int]], grades: list[int], steps: int = 150, rate: float = 0.05, ridge: float = 2e-4) -> Model:
+def train(rows: list[list[int]], grades: list[int], steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> Model:
     """Fit by Adam on the log-likelihood of the ratings, the sample being one batch."""
     y = np.array(grades, int)
     theta = np.array([-1.0, 0.0])
@@ -120,10 +124,15 @@ def train(rows: list[list[int]], grades: list[int], steps: int = 150, rate: floa
     idx = np.concatenate([np.array(r, np.int64) for r in rows])
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     df = np.bincount(idx, minlength=WIDTH)
-    ok = df[idx] >= MIN_DOCS
+    mean = np.bincount(idx, y[doc], WIDTH) / np.maximum(df, 1)
+    z = (mean - y.mean()) * np.sqrt(df) / max(y.std(), 1e-9)
+    ok = ((df >= MIN_DOCS) & (np.abs(z) >= SCREEN))[idx]
     idx, doc = idx[ok], doc[ok]
     used, inv = np.unique(idx, return_inverse=True)
     w = np.zeros(len(used))
+    share = np.bincount(y, minlength=GRADES) / len(y)
+    cost = ((1 / np.maximum(share, 1e-9)) ** BALANCE)[y]
+    cost /= cost.mean()
     a, b = theta[0], np.log(theta[1] - theta[0])  # thresholds a and a + exp(b) stay in order
     m = v = np.zeros(len(used) + 2)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -135,6 +144,7 @@ def train(rows: list[list[int]], grades: list[int], steps: int = 150, rate: floa
         # d log p / d a, d log p / d (a + exp b)
         ga = np.where(y == 0, dlo / p, np.where(y == 1, -dlo / p, 0))
         gh = np.where(y == 1, dhi / p, np.where(y == 2, -dhi / p, 0))
+        ga, gh = ga * cost, gh * cost  # rare grades weigh more
         gs = -(ga + gh)
         g = np.concatenate([np.bincount(inv, gs[doc], len(used)) / len(y) - ridge * w, [(ga + gh).mean(), gh.mean() * np.exp(b)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

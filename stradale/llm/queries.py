@@ -28,7 +28,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urls.judge(pages, urls.fit(pages))
+    return urls.judge(pages, urls.train(*urls.examples()))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

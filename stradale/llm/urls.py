@@ -4,10 +4,11 @@ A rule (host, path, verdict) fits its host and all subdomains where the path sta
 path; the longest rule wins. URLs that no rule fits are judged by boosted regression trees
 (second-order boosting of the logistic loss on feature histograms) over lexical features: lengths,
 path depth, digit and letter ratios, entropies, parameter counts, and smoothed block rates of the
-host's suffixes, learned from labelled URLs.
+host's suffixes.
 
-Where the table has no labels of its own, the labelled URLs are those that a rule decides, a
-bounded sample of distinct ones, each first occurrence of a hash.
+Labelled URLs come from a table with a label column (a bounded sample of distinct URLs). Where a
+table has none, the trees learn from the labelled examples that `examples` makes from short lists of
+topics and patterns; rules are policy for their hosts and do not serve as labels for others.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path, fits no rule and is
 judged by the trees on its empty features; without labelled URLs, or with one class only, the trees
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, ship
+from .common import map_texts
 
 # --- fixed values: the production rules, (host, path start, verdict) -------------------------------
 RULES = [
@@ -36,7 +37,21 @@ RULES = [
 ]
 # ---------------------------------------------------------------------------------------------------
 
+#: Words of labelled examples. Both lists take part in every pattern of their class.
+BLOCKED_TOPICS = ("pill-store", "slots-jackpot", "bet-bonus", "ad-tracker", "mail-blast", "xxx-live", "loan-fast", "win-prize", "hot-deals", "cam-girls", "poker-room", "replica-watch", "seo-links", "click-cash", "crypto-double")
+BLOCKED_PATTERNS = (
+    "http://{t}.{s}/", "http://www.{t}.{s}/en/{n}", "https://{t}{n}.{s}/buy?aff={n}&src=mail&cid={n}", "http://m.{t}.{s}/offer/{n}.html?utm_source=x&click={n}",
+    "http://{t}.{s}/{n}/{n}/go.php?id={n}", "https://blog.{t}.{s}/de/{n}#top",
+)
+ALLOWED_TOPICS = ("library", "museum", "harbour", "gardening", "weather", "history", "journal", "orchestra", "cycling", "kitchen", "physics", "village", "theatre", "railway", "astronomy")
+ALLOWED_PATTERNS = (
+    "https://{t}.{s}/", "https://www.{t}.{s}/en/{n}", "http://blog.{t}.{s}/fr/{n}/", "https://m.{t}.{s}/es/{n}.html?utm_source=feed",
+    "http://{t}.{s}/de/{n}?page=2&ref=x", "https://news.{t}.{s}/archive/{n}/report.html#top",
+)
+SUFFIXES = ("com", "net", "org", "example.com", "example.net", "example.org", "info", "co.uk")
+
 SAMPLE_URLS = 20_000
+FOLDS = 5
 _LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 FEATURES = (
     "length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "host_digit_ratio", "hyphens",
@@ -149,7 +164,7 @@ def grow(b: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int, depth: int, rid
 
 
 def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 4, bins: int = 32, rate: float = 0.2, smooth: float = 20.0) -> Model:
-    """Boosted trees for labelled URLs. Suffix rates leave the row's own label out while fitting."""
+    """Boosted trees for labelled URLs. Rates of suffixes come from other folds while fitting."""
     y = np.array(blocked, float)
     prior = float((y.sum() + 1) / (len(y) + 2))
     start = math.log(prior / (1 - prior))
@@ -157,13 +172,16 @@ def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 4,
     if len(y) == 0 or y.min() == y.max():
         return empty
     parts = [suffixes(split_url(u)[0]) for u in urls]
-    rates, own = [], []
+    rates, own, fold = [], [], np.arange(len(y)) % FOLDS
     for i in range(3):
-        n, s = Counter(p[i] for p in parts), Counter()
-        for p, v in zip(parts, y):
-            s[p[i]] += v
-        rates.append({k: (s[k] + smooth * prior) / (n[k] + smooth) for k in n})
-        own.append([(s[p[i]] - v + smooth * prior) / (n[p[i]] - 1 + smooth) for p, v in zip(parts, y)])
+        names = np.array([p[i] for p in parts])
+        table = lambda use: {
+            k: (y[use & (names == k)].sum() + smooth * prior) / ((use & (names == k)).sum() + smooth) for k in np.unique(names[use])
+        }
+        rates.append(table(fold >= 0))
+        # a row's own rate comes from the other folds, so that trees cannot read its label from it
+        parts_of = [table(fold != f) for f in range(FOLDS)]
+        own.append([parts_of[f].get(k, prior) for f, k in zip(fold, names)])
     x = np.array([empty.features(u) for u in urls], float)
     x[:, -3:] = np.array(own).T
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(x.shape[1])]
@@ -177,26 +195,21 @@ def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 4,
     return Model(prior, rates, cuts, out, start)
 
 
-def fit(df: DataFrame, url: str = "url", label: str | None = None, rules=RULES, sample_urls: int = SAMPLE_URLS) -> Model:
-    """Train on at most about `sample_urls` distinct labelled URLs.
-
-    label: a boolean column (true: block); without one, URLs that a rule decides are labelled by it.
-    """
-    ship(df.sparkSession)
-    if label:
-        known = df.select(F.col(url).alias("url"), F.col(label).cast("boolean").alias("bad"))
-    else:
-
-        def make():
-            from stradale.llm.urls import rule_of, split_url
-
-            def work(urls):
-                found = [rule_of(*split_url(u), rules) for u in urls]
-                return [(None if f is None else f[1] == "block",) for f in found]
+def examples() -> tuple[list[str], list[bool]]:
+    """Labelled URLs from the lists above."""
+    urls, bad = [], []
+    for topics, patterns, label in ((BLOCKED_TOPICS, BLOCKED_PATTERNS, True), (ALLOWED_TOPICS, ALLOWED_PATTERNS, False)):
+        for i, t in enumerate(topics):
+            for j, p in enumerate(patterns):
+                for k, s in enumerate(SUFFIXES):
+                    urls.append(p.format(t=t, s=s, n=7 * (i + 1) * (j + 3) * (k + 2) % 997))
+                    bad.append(label)
+    return urls, bad
 
-            return work
 
-        known = map_texts(df.select(url).distinct().select(F.col(url).alias("key"), url), ["key"], url, make, "bad boolean").select(F.col("key").alias("url"), "bad")
+def fit(df: DataFrame, label: str, url: str = "url", sample_urls: int = SAMPLE_URLS) -> Model:
+    """Train on about `sample_urls` distinct URLs of a table with a boolean label (true: block)."""
+    known = df.select(F.col(url).alias("url"), F.col(label).cast("boolean").alias("bad"))
     known = known.where("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("bad"))
     n = known.count()
     u = F.pmod(F.xxhash64(F.lit(41), "url"), F.lit(1 << 20)) / float(1 << 20)
