@@ -112,7 +112,9 @@ def packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One table for both relations, so that a rewrite reads and writes a single grouped map."""
     e = edges.select("graph_id", F.lit("e").alias("part"), F.col("edge").alias("id"), "u", "v", "pts")
     n = nodes.select("graph_id", F.lit("n").alias("part"), F.col("node").alias("id"), F.lit(None).cast("long").alias("u"), F.lit(None).cast("long").alias("v"), F.array(geom.point(F.col("x"), F.col("y"))).alias("pts"))
-    return n.unionByName(e)
+    both = n.unionByName(e)
+    # new names for the columns: a table may be cogrouped with one that comes from it
+    return both.select(*[F.col(c).alias(c) for c in both.columns])
 
 
 def unpack(rows: pd.DataFrame) -> kernels.Graph:
