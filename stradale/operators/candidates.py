@@ -124,16 +124,11 @@ def add_connectors(nodes: DataFrame, edges: DataFrame, rows: DataFrame, toleranc
         g, added = g.connected(recs, tolerance)
         if reorder:
             g = g.pruned(spur)
-        out = [(key[0], "n", k, None, None, [{"x": x, "y": y}]) for k, (x, y) in g.nodes.items()]
-        out += [(key[0], "e", i, u, v, G.rows_of(p)) for i, (u, v, p) in enumerate(g.edges)]
-        out.append((key[0], "c", added, None, None, []))
-        return pd.DataFrame(out, columns=["graph_id", "part", "id", "u", "v", "pts"]).astype({"u": "Int64", "v": "Int64"})
+        return G.repack(key[0], g, [(key[0], "c", added, None, None, [], [])])
 
     c = rows.select("graph_id", "cand", "node_a", "node_b", "bx", "by")
     made = packed(nodes, edges).groupBy("graph_id").cogroup(c.groupBy("graph_id")).applyInPandas(run, G.PACKED)
-    p = F.get("pts", F.lit(0))
-    n = made.where("part = 'n'").select("graph_id", F.col("id").alias("node"), p["x"].alias("x"), p["y"].alias("y"))
-    e = made.where("part = 'e'").select("graph_id", F.col("id").alias("edge"), "u", "v", "pts", G.geom.polyline_length(F.col("pts")).alias("length"))
+    n, e = G.split_packed(made)
     return n, e, made.where("part = 'c'").select("graph_id", F.col("id").alias("added"))
 
 

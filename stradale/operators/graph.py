@@ -83,16 +83,6 @@ def endpoint_pairs(nodes: DataFrame, edges: DataFrame, radius: float) -> DataFra
 # --- kernels ------------------------------------------------------------------------------------------
 
 
-def graph_of(nodes: pd.DataFrame, edges: pd.DataFrame) -> kernels.Graph:
-    """A kernel graph from the rows of one graph."""
-    n = nodes.sort_values("node")
-    e = edges.sort_values("edge")
-    return kernels.Graph(
-        {int(k): (float(x), float(y)) for k, x, y in zip(n.node, n.x, n.y)},
-        [(int(u), int(v), points(p)) for u, v, p in zip(e.u, e.v, e.pts)],
-    )
-
-
 def points(pts) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in pts], float).reshape(-1, 2)
 
@@ -101,17 +91,17 @@ def rows_of(p: np.ndarray) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in p]
 
 
-def edge_frame(graph_id: str, g: kernels.Graph) -> pd.DataFrame:
-    return pd.DataFrame(
-        [(graph_id, i, u, v, rows_of(p), kernels.length(p)) for i, (u, v, p) in enumerate(g.edges)],
-        columns=["graph_id", "edge", "u", "v", "pts", "length"],
-    )
+PACKED = "graph_id string, part string, id long, u long, v long, px array<double>, py array<double>"
 
 
 def packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One table for both relations, so that a rewrite reads and writes a single grouped map."""
-    e = edges.select("graph_id", F.lit("e").alias("part"), F.col("edge").alias("id"), "u", "v", "pts")
-    n = nodes.select("graph_id", F.lit("n").alias("part"), F.col("node").alias("id"), F.lit(None).cast("long").alias("u"), F.lit(None).cast("long").alias("v"), F.array(geom.point(F.col("x"), F.col("y"))).alias("pts"))
+    """One table for both relations, so that a rewrite reads and writes a single grouped map.
+
+    Lines travel as two number arrays, which Arrow hands to numpy without a Python object a point.
+    """
+    null = F.lit(None).cast("long")
+    e = edges.select("graph_id", F.lit("e").alias("part"), F.col("edge").alias("id"), "u", "v", F.transform("pts", lambda p: p["x"]).alias("px"), F.transform("pts", lambda p: p["y"]).alias("py"))
+    n = nodes.select("graph_id", F.lit("n").alias("part"), F.col("node").alias("id"), null.alias("u"), null.alias("v"), F.array("x").alias("px"), F.array("y").alias("py"))
     both = n.unionByName(e)
     # new names for the columns: a table may be cogrouped with one that comes from it
     return both.select(*[F.col(c).alias(c) for c in both.columns])
@@ -120,29 +110,32 @@ def packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def unpack(rows: pd.DataFrame) -> kernels.Graph:
     n, e = rows[rows.part == "n"].sort_values("id"), rows[rows.part == "e"].sort_values("id")
     return kernels.Graph(
-        {int(k): (float(p[0]["x"]), float(p[0]["y"])) for k, p in zip(n.id, n.pts)},
-        [(int(u), int(v), points(p)) for u, v, p in zip(e.u, e.v, e.pts)],
+        {int(k): (float(x[0]), float(y[0])) for k, x, y in zip(n.id, n.px, n.py)},
+        [(int(u), int(v), np.column_stack([x, y]).astype(float)) for u, v, x, y in zip(e.u, e.v, e.px, e.py)],
     )
 
 
-PACKED = "graph_id string, part string, id long, u long, v long, pts array<struct<x:double,y:double>>"
+def repack(graph_id: str, g: kernels.Graph, more: list[tuple] | None = None) -> pd.DataFrame:
+    out = [(graph_id, "n", k, None, None, [x], [y]) for k, (x, y) in g.nodes.items()]
+    out += [(graph_id, "e", i, u, v, p[:, 0], p[:, 1]) for i, (u, v, p) in enumerate(g.edges)]
+    got = pd.DataFrame(out + (more or []), columns=["graph_id", "part", "id", "u", "v", "px", "py"])
+    return got.astype({"u": "Int64", "v": "Int64"})
+
+
+def split_packed(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a packed table."""
+    n = made.where("part = 'n'").select("graph_id", F.col("id").alias("node"), F.get("px", F.lit(0)).alias("x"), F.get("py", F.lit(0)).alias("y"))
+    e = made.where("part = 'e'").select("graph_id", F.col("id").alias("edge"), "u", "v", F.zip_with("px", "py", geom.point).alias("pts"))
+    return n, e.withColumn("length", geom.polyline_length(F.col("pts")))
 
 
 def rewrite(nodes: DataFrame, edges: DataFrame, how) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after `how(Graph) -> Graph` on every graph."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        g = how(unpack(rows))
-        out = [(key[0], "n", k, None, None, [{"x": x, "y": y}]) for k, (x, y) in g.nodes.items()]
-        out += [(key[0], "e", i, u, v, rows_of(p)) for i, (u, v, p) in enumerate(g.edges)]
-        got = pd.DataFrame(out, columns=["graph_id", "part", "id", "u", "v", "pts"])
-        return got.astype({"u": "Int64", "v": "Int64"})
+        return repack(key[0], how(unpack(rows)))
 
-    made = packed(nodes, edges).groupBy("graph_id").applyInPandas(run, PACKED)
-    p = F.get("pts", F.lit(0))
-    n = made.where("part = 'n'").select("graph_id", F.col("id").alias("node"), p["x"].alias("x"), p["y"].alias("y"))
-    e = made.where("part = 'e'").select("graph_id", F.col("id").alias("edge"), "u", "v", "pts", geom.polyline_length(F.col("pts")).alias("length"))
-    return n, e
+    return split_packed(packed(nodes, edges).groupBy("graph_id").applyInPandas(run, PACKED))
 
 
 def simplify(nodes: DataFrame, edges: DataFrame, tolerance: float = 2.0):
@@ -218,16 +211,7 @@ def trace(masks: DataFrame, grids: DataFrame) -> tuple[DataFrame, DataFrame]:
         m = np.zeros((int(rows.height.iloc[0]), int(rows.width.iloc[0])), bool)
         on = rows.dropna(subset=["row"])
         m[on.row.astype(int), on.col.astype(int)] = True
-        g = kernels.trace(m)
-        out = [(key[0], "n", k, None, None, [{"x": float(x), "y": float(y)}]) for k, (x, y) in g.nodes.items()]
-        out += [(key[0], "e", i, u, v, rows_of(p)) for i, (u, v, p) in enumerate(g.edges)]
-        return pd.DataFrame(out, columns=["graph_id", "part", "id", "u", "v", "pts"]).astype({"u": "Int64", "v": "Int64"})
+        return repack(key[0], kernels.trace(m))
 
     both = grids.join(masks, "chip", "left").select(F.col("chip").alias("graph_id"), "height", "width", "row", "col")
-    made = both.groupBy("graph_id").applyInPandas(run, PACKED)
-    p = F.get("pts", F.lit(0))
-    n = made.where("part = 'n'").select("graph_id", F.col("id").alias("node"), p["x"].alias("x"), p["y"].alias("y"))
-    e = made.where("part = 'e'").select("graph_id", F.col("id").alias("edge"), "u", "v", "pts", geom.polyline_length(F.col("pts")).alias("length"))
-    return n, e
-
-
+    return split_packed(both.groupBy("graph_id").applyInPandas(run, PACKED))

@@ -18,6 +18,7 @@ from ..operators import raster as R
 from ..operators import spatial as S
 from ..operators import split as P
 from ..operators import stats as T
+from ..ship import ship
 from ..sources import ways as W
 from . import views as V
 
@@ -29,7 +30,11 @@ def query(sql: str | None = None, *views: str, recursive: bool = False):
     """Register a query under its function's name, with its SQL over the named views."""
 
     def put(f):
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE[f.__name__] = V.with_views(sql, *views, recursive=recursive) if views else sql
         return f
