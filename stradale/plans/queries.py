@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom, scalars
 from ..operators import candidates as C
+from ..operators import crosscheck as X
 from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import raster as R
@@ -269,19 +270,51 @@ def candidate_truth_distance(spark, sf):
     return rd(x.select("graph_id", "node_a", "node_b", "gap", "truth_dist"), "gap")
 
 
-@query()
+_LABELS = (
+    _PATHS
+    + _DEG.replace("--with", ",")
+    + """, pr AS (SELECT a.graph_id, a.node AS a, b.node AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS gap FROM d a JOIN d b ON a.graph_id = b.graph_id AND a.node < b.node AND a.degree = 1 AND b.degree = 1 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 150 * 150 AND NOT EXISTS (SELECT 1 FROM thin_edges e WHERE e.graph_id = a.graph_id AND e.u = a.node AND e.v = b.node)),
+ lab AS (SELECT pr.*, s.snap, CASE WHEN t.l <= 1.5 * gap AND coalesce(p.l, CAST('inf' AS DOUBLE)) > 1.2 * t.l THEN 'positive' ELSE 'negative' END AS label FROM pr JOIN len t ON t.g = 't' AND t.graph_id = pr.graph_id AND t.a = pr.a AND t.b = pr.b LEFT JOIN len p ON p.g = 'p' AND p.graph_id = pr.graph_id AND p.a = pr.a AND p.b = pr.b, (VALUES (5.0::DOUBLE), (30.0)) s(snap)) """
+)
+_LV = ("grid_edges", "thin_edges", "grid_nodes")
+
+
+def _ends(spark, sf):
+    return _labelled(spark, sf).where("kind = 'endpoint'")
+
+
+@query(_LABELS + 'SELECT x.label AS "from", y.label AS "to", count(*) AS n FROM lab x JOIN lab y ON x.graph_id = y.graph_id AND x.a = y.a AND x.b = y.b WHERE x.snap = 5 AND y.snap = 30 GROUP BY ALL', *_LV, recursive=True)
 def label_transitions(spark, sf):
-    return C.transitions(_labelled(spark, sf), 5.0, 30.0)
+    return C.transitions(_ends(spark, sf), 5.0, 30.0)
 
 
-@query()
+@query(_LABELS + "SELECT snap, CAST(sum(p) AS BIGINT) AS n_positive, CAST(sum(n) AS BIGINT) AS n_rated, round(sum(p) / sum(n), 6) AS pooled, round(avg(p / n), 6) AS graph_mean FROM (SELECT snap, graph_id, count(*) FILTER (label = 'positive') AS p, count(*) AS n FROM lab GROUP BY ALL) GROUP BY snap", *_LV, recursive=True)
 def candidate_rates(spark, sf):
-    return rd(C.candidate_rates(_labelled(spark, sf), ["snap", "kind"]), "pooled", "graph_mean")
+    return rd(C.candidate_rates(_ends(spark, sf), ["snap"]), "pooled", "graph_mean")
 
 
-@query()
+@query(_LABELS + "SELECT radius, snap, count(*) AS n, count(*) AS n_endpoint, 0 AS n_edge, count(*) FILTER (label = 'positive') AS n_positive, 0 AS n_undeterminable, count(DISTINCT (graph_id, a)) AS n_sources, count(DISTINCT CASE WHEN label = 'positive' THEN (graph_id, a) END) AS n_positive_sources FROM lab JOIN (VALUES (105.0::DOUBLE), (150.0)) r(radius) ON gap <= radius GROUP BY radius, snap", *_LV, recursive=True)
 def radius_census(spark, sf):
-    return C.radius_census(_labelled(spark, sf), T.grid(spark, radius=[50.0, 100.0, 150.0]))
+    return C.radius_census(_ends(spark, sf), T.grid(spark, radius=[105.0, 150.0]))
+
+
+@query()
+def shortcut_ratios(spark, sf):
+    return rd(C.shortcut_ratios(_labelled(spark, sf), ["snap"]), "p50", "p90", "under_1_5")
+
+
+@query("--with j AS (SELECT s.*, p.value AS o FROM scores s JOIN scores p ON p.chip = s.chip AND p.arm = 'view') SELECT arm, tolerance, round(avg(CASE WHEN abs(value - o) <= tolerance THEN 1.0 ELSE 0.0 END), 9) AS share FROM j, (VALUES (2.0::DOUBLE), (5.0)) t(tolerance) GROUP BY ALL", "scores")
+def agreement_shares(spark, sf):
+    s = V.scores(spark, sf)
+    o = s.where("arm = 'view'").select("chip", F.col("value").alias("_o"))
+    d = s.join(o, "chip").select("arm", F.abs(F.col("value") - F.col("_o")).alias("distance"))
+    return rd(X.agreement(d, ["arm"], [2.0, 5.0]), "share", places=9)
+
+
+@query("SELECT l_linestatus AS source, count(*) FILTER (l_discount = 0) AS n_base, count(*) FILTER (l_discount = 0 AND l_tax > 0.04) AS n_converted, round(count(*) FILTER (l_discount = 0 AND l_tax > 0.04) / count(*) FILTER (l_discount = 0), 9) AS rate FROM lineitem GROUP BY 1")
+def conversion_counts(spark, sf):
+    li = V.table(spark, sf, "lineitem").withColumnRenamed("l_linestatus", "source")
+    return rd(X.conversion(li, ["source"], F.col("l_discount") == 0, F.col("l_tax") > 0.04), "rate", places=9)
 
 
 @query()

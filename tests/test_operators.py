@@ -163,3 +163,76 @@ def test_streaming_scores_once(spark, sf, tmp_path):
     q = score_arrivals(s, lambda b: b.groupBy("graph_id").agg(F.sum("length").alias("length")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_fetch_backs_off_and_takes_no_for_an_answer():
+    from stradale.sources.fetch import NoWays, fetch
+
+    waits, calls = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return [1]
+
+    assert fetch(flaky, sleep=waits.append) == [1] and waits == [1.0, 2.0, 0.0]
+
+    def none():
+        raise NoWays
+
+    assert fetch(none, sleep=waits.append) == []
+    with pytest.raises(OSError):
+        fetch(lambda: (_ for _ in ()).throw(OSError()), attempts=2, sleep=waits.append)
+
+
+def test_warp_is_bilinear():
+    import numpy as np
+
+    from stradale.sources.fetch import warp
+
+    a = np.arange(12.0).reshape(3, 4)
+    assert (warp(a, a.shape, lambda r, c: (r, c)) == a).all()
+    assert warp(a, (1, 1), lambda r, c: (r + 0.5, c + 0.5))[0, 0] == pytest.approx(2.5)
+
+
+def test_chips_pair_by_number(spark):
+    from stradale.sources.chips import find_chips, holdout
+
+    images = spark.createDataFrame([(f"/a/PS-RGB_img{i}.tif",) for i in (10, 9, 2)], "path string")
+    labels = spark.createDataFrame([(f"/b/geojson_img{i}.geojson",) for i in (2, 10, 7)], "path string")
+    assert [r["chip"] for r in find_chips(images, labels).collect()] == ["img2", "img10"]
+    val = spark.createDataFrame([(f"s{i}", i) for i in range(6)], "sample_id string, pos int")
+    assert [r["sample_id"] for r in holdout(val, val.where("pos = 3"), 2, 3).collect()] == ["s2", "s4"]
+
+
+def test_way_sources(spark, tmp_path):
+    from stradale.sources import ways as W
+
+    xml = '<osm><node id="1" lon="-115.14" lat="36.17"/><node id="2" lon="-115.13" lat="36.17"/><way id="7"><nd ref="1"/><nd ref="2"/><tag k="highway" v="residential"/><tag k="access" v="private"/></way><way id="8"><nd ref="1"/><tag k="highway" v="primary"/></way></osm>'
+    (tmp_path / "a.osm").write_text(xml)
+    w = registry.load(registry.WAYS, "xml", spark, str(tmp_path / "a.osm"))
+    assert w.count() == 1 and W.network(w, "drive").count() == 0 and W.network(w, "all").count() == 1
+    m = W.to_utm(w.select("osm_id", "highway", "pts"), 32611).select(geom.polyline_length(F.col("pts")).alias("n")).first()["n"]
+    assert m == pytest.approx(899.3, abs=1.5)
+    w.write.parquet(str(tmp_path / "ways"))
+    t = registry.load(registry.WAYS, "table", spark, str(tmp_path / "ways"), (-116.0, 36.0, -115.0, 37.0))
+    assert t.count() == 1 and "PushedFilters: [IsNotNull" in t._jdf.queryExecution().executedPlan().toString()
+
+
+def test_geojson_labels(spark, tmp_path):
+    from stradale.sources.chips import label_lines
+
+    (tmp_path / "x_img3.geojson").write_text('{"features": [{"geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}}, {"geometry": null}, {"geometry": {"type": "MultiLineString", "coordinates": [[[0, 1], [2, 3]], [[5, 5]]]}}]}')
+    rows = label_lines(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 and {r["graph_id"] for r in rows} == {"img3"}
+
+
+def test_round_trip_scores_high(spark, sf, truth):
+    ids = truth[0].select("graph_id").distinct().limit(2)
+    near = lambda d: d.join(ids, "graph_id", "left_semi")
+    grids = ids.select(F.col("graph_id").alias("chip"), F.lit(310).alias("height"), F.lit(310).alias("width"))
+    e = near(truth[1]).withColumn("pts", geom.shifted(F.col("pts"), 2.0, 2.0))
+    n = near(truth[0]).withColumn("x", F.col("x") + 2).withColumn("y", F.col("y") + 2)
+    got = M.round_trip((n, e), grids).agg(F.min("apls")).first()[0]
+    assert got > 0.9
