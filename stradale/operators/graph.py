@@ -169,6 +169,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return packed(nodes, edges).groupBy("graph_id").applyInPandas(run, "graph_id string, node long, component long")
 
 
+def class_components(lines: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """Lines (graph_id, line, klass, pts) that hang together within their class: graph_id, line, klass, component.
+
+    Every class of a graph is built as a graph of its own.
+    """
+    own = F.concat_ws("|", "graph_id", "klass")
+    nodes, edges = build(lines.select(own.alias("graph_id"), "line", "pts"), tolerance)
+    comp = components(nodes, edges).withColumnRenamed("node", "u")
+    by_line = edges.select("graph_id", F.col("edge").alias("line"), "u").join(comp, ["graph_id", "u"])
+    return lines.select("graph_id", "line", "klass", own.alias("_own")).join(by_line.select(F.col("graph_id").alias("_own"), "line", "component"), ["_own", "line"]).drop("_own")
+
+
 def path_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest path lengths between all node pairs a < b that a route joins."""
 

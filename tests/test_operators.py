@@ -236,3 +236,11 @@ def test_round_trip_scores_high(spark, sf, truth):
     n = near(truth[0]).withColumn("x", F.col("x") + 2).withColumn("y", F.col("y") + 2)
     got = M.round_trip((n, e), grids).agg(F.min("apls")).first()[0]
     assert got > 0.9
+
+
+def test_class_components(spark):
+    pts = lambda *q: [{"x": float(x), "y": float(y)} for x, y in q]
+    rows = [("g", 0, "a", pts((0, 0), (1, 0))), ("g", 1, "b", pts((1, 0), (2, 0))), ("g", 2, "a", pts((2, 0), (3, 0))), ("g", 3, "a", pts((3, 0), (4, 0)))]
+    got = G.class_components(spark.createDataFrame(rows, "graph_id string, line long, klass string, pts array<struct<x:double,y:double>>")).collect()
+    by = {r["line"]: (r["klass"], r["component"]) for r in got}
+    assert by[2] == by[3] and len(set(by.values())) == 3
