@@ -6,17 +6,18 @@ import os
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship as send
+
 #: Words of the contracts: everything but space, tab, newline, VT, FF and CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-_SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch, where a session has Spark's default.
+BATCH_BYTES, DEFAULT_BATCH = 16 << 20, "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,17 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Arrow functions import there."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(str(out))
-    _SHIPPED.add(sc.applicationId)
+    """Make this package importable on executors; batches of texts are bounded by bytes, not rows alone."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    send(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,7 +52,7 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose text column holds about `limit` bytes, one row at least."""
     n = batch.num_rows
     if not n:
@@ -99,6 +93,7 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     [c.cast(arrow.field(i).type) for i, c in enumerate(cols)], names=arrow.names
                 )
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
     return src.mapInArrow(run, out)
 
@@ -120,5 +115,6 @@ def rewrite_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list],
                     yield b.filter(pa.array(got, pa.bool_()))
                 else:
                     yield b.set_column(at, b.schema.field(at), pa.array(got, b.schema.field(at).type))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)

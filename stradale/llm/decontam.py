@@ -28,7 +28,7 @@ from .common import map_texts, rewrite_texts, ship
 SEED, RARE, THRESHOLD = 5, 3, 0.5
 BLOCK_CHARS = 32 << 20
 NOT_WORD = re.compile(r"[\W_]+")
-CACHE = 400_000
+CACHE = 150_000
 
 
 class Index:

@@ -27,6 +27,8 @@ from .common import map_texts, ship
 LETTER = re.compile(r"[^\W\d_]")
 #: Bound of the sample: labelled texts a language, and bytes counted of each text's whole length.
 SAMPLE_DOCS = 1500
+#: Bytes scored at once.
+STEP = 1 << 20
 
 
 class Model:
@@ -92,19 +94,19 @@ class Model:
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language. Texts start from three bytes of class 0."""
         k = self.k
-        ends = np.cumsum([len(t) + 3 for t in texts])
+        size = np.array([len(t) for t in texts])
+        ends = np.cumsum(size + 3)
         data = np.frombuffer(b"".join([b"\0\0\0" + t for t in texts]), np.uint8)
-        c = self.cls[data]
-        start = ends - np.array([len(t) for t in texts]) - 3
-        for i in range(3):
-            c[start + i] = 0
-        idx = self.row[(c[:-3] * k + c[1:-2]) * k + c[2:-1]] * np.int32(k) + c[3:]
-        # windows that reach into the next text's start are left out by the limits below
         sums = np.zeros((len(texts), len(self.langs)))
-        for li in range(len(self.langs)):
-            v = np.cumsum(self.bits[:, li][idx], dtype=np.float64)
-            v = np.concatenate([[0.0], v])
-            sums[:, li] = v[np.minimum(ends - 3, len(v) - 1)] - v[np.minimum(start, len(v) - 1)]
+        for lo in range(3, len(data), STEP):  # bounded work arrays, whatever the texts' lengths
+            hi = min(lo + STEP, len(data))
+            c = self.cls[data[lo - 3 : hi]]
+            idx = self.row[(c[:-3] * k + c[1:-2]) * k + c[2:-1]] * np.int32(k) + c[3:]
+            at = np.arange(lo, hi)
+            owner = np.searchsorted(ends, at, "right")
+            own = at >= ends[owner] - size[owner]  # not the three bytes before a text
+            for li in range(len(self.langs)):
+                sums[:, li] += np.bincount(owner, self.bits[idx, li] * own, len(texts))
         return sums
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
@@ -135,8 +137,8 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def held_out(key: str = "doc_id"):
-    """crc32 of the key's decimal text, modulo 5, is 0."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """crc32 of the key's decimal text, modulo 5, is 0; a null key is not held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -148,14 +150,14 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     """
     spark = df.sparkSession
     ship(spark)
-    use = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.coalesce(~held_out(key), F.lit(False)))
+    use = df.where(F.col(lang).isNotNull() & ~held_out(key))  # counted without reading a text
     n = {r[lang]: r["n"] for r in use.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(n)
     if not langs:
         return Model([], {})
     share = F.coalesce(*[F.when(F.col(lang) == k, F.lit(min(1.0, sample_docs / v))) for k, v in n.items()])
     u = F.pmod(F.xxhash64(F.lit(17), F.col(key).cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    sample = use.where(u < share).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    sample = use.where(F.col(text).isNotNull() & (u < share)).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def run(batches):
         import pyarrow as pa
