@@ -23,7 +23,7 @@ from .common import map_texts
 
 MARK = "▁"
 #: Segments held in each of the two generations of a worker's cache.
-CACHE = 400_000
+CACHE = 200_000
 #: Segments of at most so many characters keep their agenda in a list, longer ones in a heap.
 SHORT = 48
 NEVER = float("inf")
@@ -97,8 +97,9 @@ class Pieces:
         self.text = [None if i in byte else " ⁇ " if i == self.unknown else "" if i in self.silent else p.replace(MARK, " ") for i, p in enumerate(self.piece)]
         self.newline = self.numbers(["\n"])
         self.opening = sp.encode("\n")
-        self.young: dict[str, tuple[str, str, int]] = {}
-        self.old: dict[str, tuple[str, str, int]] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, tuple[str, int]] = {}
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment by the agenda."""
@@ -207,38 +208,45 @@ class Pieces:
         h = len(segments) // 2
         return self.differs(segments[:h], own[:h]) + self.differs(segments[h:], own[h:])
 
-    def learn(self, fresh: list[str]) -> None:
-        """Encode segments, compare them with the library and keep the results."""
-        own = [self.merge(s) for s in fresh]
-        for s, ids, bad in zip(fresh, own, self.differs(fresh, own)):
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[s] = (",".join(map(str, ids)), self.spell(ids), bad)
+    def learn(self, fresh: list[str]) -> dict[str, str]:
+        """Encode segments, compare them with the library; keep and return their ids as text.
+
+        A segment whose ids spell other characters than its own, or differ from the library's, is
+        noted in `odd` with what they spell.
+        """
+        out = {}
+        for i in range(0, len(fresh), 10_000):
+            part = fresh[i : i + 10_000]
+            own = [self.merge(s) for s in part]
+            for s, ids, bad in zip(part, own, self.differs(part, own)):
+                out[s] = ",".join(map(str, ids))
+                said = self.spell(ids)
+                if bad or said != s.replace(MARK, " "):
+                    self.odd[s] = (said, bad)
+        if len(self.young) + len(out) > CACHE:
+            self.old, self.young = self.young, {}
+        self.young |= out
+        return out
 
     def digest(self, texts: list[str | None]) -> list[tuple]:
         """n_tokens, ids_sha256, decoded_sha256, n_disagree of each text."""
         out = []
         for t in texts:
             segs = self.segments(t or "")
-            young, old = self.young, self.old
+            young, old = self.young, self.old  # as they are before this text's segments
             fresh = [s for s in dict.fromkeys(segs) if s not in young and s not in old]
-            held = {}
-            for i in range(0, len(fresh), 10_000):
-                part = fresh[i : i + 10_000]
-                self.learn(part)
-                if len(fresh) > 10_000 or self.young is not young:
-                    held |= {s: self.young.get(s) or self.old.get(s) for s in part}
-            if held or self.young is not young:
-                # generations changed within this text: look in every place that can hold a segment
-                rows = [held.get(s) or self.young.get(s) or self.old.get(s) or old.get(s) or young[s] for s in segs]
+            new = self.learn(fresh) if fresh else {}
+            ids = ",".join([young.get(s) or old.get(s) or new[s] for s in segs])
+            odd, bad = self.odd, 0
+            if odd and not odd.keys().isdisjoint(segs):
+                said = "".join([odd[s][0] if s in odd else s.replace(MARK, " ") for s in segs])
+                bad = sum(odd[s][1] for s in segs if s in odd)
             else:
-                rows = [young.get(s) or old[s] for s in segs]
-            ids = ",".join([r[0] for r in rows])
-            said = "".join([r[1] for r in rows])
+                said = "".join(segs).replace(MARK, " ")
             if said[:1] == " ":
                 said = said[1:]
             n = ids.count(",") + 1 if ids else 0
-            out.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest(), sum([r[2] for r in rows])))
+            out.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest(), bad))
         return out
 
 
