@@ -34,8 +34,9 @@ BOILER_WORDS = {
     "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation",
     "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "rail", "related", "replies",
     "respond", "responses", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar",
-    "topbar", "widget", "alert", "disclaimer", "recommended", "trending",
-}
+    "topbar", "topnav", "sidenav", "subnav", "widget", "alert", "announcement", "notification", "disclaimer", "recommended", "trending",
+}
+PAGE_HEADER = {"header"}  # as a class or id word, outside an article only
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "alertdialog", "menu", "menubar"}
 # ----------------------------------------------------------------------------------------------------
 
@@ -54,8 +55,10 @@ def boiler(name: str, attrs: str, in_article: bool) -> bool:
         return False
     for m in ATTR.finditer(attrs):
         k, v = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if k in ("class", "id") and BOILER_WORDS & {w.lower() for w in WORDS.findall(v)}:
-            return True
+        if k in ("class", "id"):
+            words = {w.lower() for w in WORDS.findall(v)}
+            if words & BOILER_WORDS or (name in ("div", "section") and not in_article and words & PAGE_HEADER):
+                return True
         if k == "role" and v.lower() in BOILER_ROLES or k == "hidden" or k == "aria-hidden" and v.lower() == "true":
             return True
         if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):

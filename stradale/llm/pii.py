@@ -224,7 +224,7 @@ def train(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], li
             np.add.at(g, idx.reshape(-1), np.repeat(p * weight, idx.shape[1], 0))
             w -= 4.0 / (1 + step / 20) * (g / len(y) + 1e-5 * w)
     pots = []
-    for which, same in ((2, 1.0), (3, 50.0)):
+    for which, same in ((2, 1.0), (3, 1000.0)):
         c = np.full((n, n), 1.0) + np.eye(n) * same  # similar tokens are expected to agree
         for r in rows:
             for i, j in r[which]:
@@ -238,7 +238,7 @@ def train(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], li
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Train on about `sample_docs` documents, chosen by a hash of the key."""
     ship(df.sparkSession)
-    n = df.where(F.col(text).isNotNull()).count()
+    n = df.count()
     u = F.pmod(F.xxhash64(F.lit(29), F.col(key).cast("string")), F.lit(1 << 20)) / float(1 << 20)
     sample = df.where(F.col(text).isNotNull() & (u < min(1.0, sample_docs / max(n, 1))))
 

@@ -71,4 +71,53 @@ QUERIES: dict[str, Query] = {
     "op10_personal_data": op10_personal_data,
 }
 
-ORACLE: dict[str, str] = {}
+_SPACE = r"[\x20\x09-\x0D]"
+_WORDS = f"list_filter(regexp_split_to_array({{0}}, '{_SPACE}+'), lambda x: x <> '')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Exact classes by a self-join on shingles: for small tables.
+_CLASSES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 80 * (a.k + b.k - m)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, other) AS (SELECT x, y FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other),
+c AS (SELECT doc_id, min(other) AS low FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(k, 0) AS n_shingles, coalesce(least(low, w.doc_id), w.doc_id) AS component_id, coalesce(low >= w.doc_id, true) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.doc_id = w.doc_id
+"""
+
+
+def _rules_sql() -> str:
+    r = rules.RULES
+    soft = ", ".join(f"{v} > {limit} AS soft_{k}" for k, (v, _, limit) in r.items())
+    fails = ", ".join(f"sum(CAST(soft_{k} AS INTEGER)) AS f_{k}" for k in r)
+    total = ", ".join(f"sum(f_{k}) / sum(n) AS m_{k}, coalesce(var_pop(f_{k} / n), 0) AS v_{k}" for k in r)
+    strength = {k: f"least(1e4, greatest(1.0, coalesce(m_{k} * (1 - m_{k}) / nullif(v_{k}, 0) - 1, 1e4)))" for k in r}
+    rate = ", ".join(f"(f_{k} + {strength[k]} * m_{k}) / (n + {strength[k]}) AS rate_{k}, m_{k}" for k in r)
+    bad = ", ".join(f"rate_{k} > {rules.HOST_FACTOR} * m_{k} AND rate_{k} > {rules.HOST_FLOOR} AS bad_{k}" for k in r)
+    plain = " OR ".join(f"{v} > {hard}" for v, hard, _ in r.values())
+    host = " OR ".join(f"(bad_{k} AND soft_{k})" for k in r)
+    base = f"(n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_WORDS.format("t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS k FROM (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w))),
+h AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM g, range(3) o(j) WHERE k > 1 GROUP BY rid),
+c AS (SELECT rid, doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_SPACE}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN h USING (rid)),
+q AS (SELECT *, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS r_repeat, coalesce(n_symbols / nullif(n_words, 0), 0) AS r_symbol, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS r_dup FROM c),
+f AS (SELECT *, {soft} FROM q),
+o AS (SELECT host, count(*) AS n, {fails} FROM f GROUP BY host),
+m AS (SELECT {total} FROM o),
+v AS (SELECT host, {rate} FROM o, m),
+b AS (SELECT host, {bad} FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed, ({host}) AS host_failed, NOT {base} AND NOT ({plain}) AND NOT ({host}) AS kept
+FROM f JOIN b ON f.host IS NOT DISTINCT FROM b.host
+"""
+
+
+#: The others train models, align, lex or tokenize, which SQL cannot express.
+ORACLE: dict[str, str] = {"op7_near_duplicates": _CLASSES, "op9_quality_rules": _rules_sql()}
