@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from .common import map_texts, ship
 
 WIDTH = 1 << 18
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 12_000
 #: Ratings weigh as the power -BALANCE of their grade's share.
 BALANCE = 0.5
 MIN_DOCS = 8
 #: Features enter if their documents' mean rating is so many standard errors from the mean of all.
-SCREEN = 4.0
+SCREEN = 5.0
 GRADES = 3
 KEEP_TAIL = 0.5
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|#*$%&-"
@@ -89,7 +89,7 @@ class Model:
         words = (text or "").lower().split()
         distinct = set(words)
         cache = self.cache
-        if len(cache) > 300_000:
+        if len(cache) > 150_000:
             cache.clear()
         total, w, seen = 0.0, self.weights, set()
         for x in distinct:
@@ -115,14 +115,14 @@ class Model:
         return [(float(a.sum()), float(a[-1]), float(a[0]), bool(a[-1] >= KEEP_TAIL)) for a in above]
 
 
-def train(rows: list[list[int]], grades: list[int], steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> Model:
+def train(rows: list, grades: list[int], steps: int = 600, rate: float = 0.05, ridge: float = 1e-5) -> Model:
     """Fit by Adam on the log-likelihood of the ratings, the sample being one batch."""
     y = np.array(grades, int)
     theta = np.array([-1.0, 0.0])
     if not len(y):
         return Model(np.zeros(WIDTH), np.array([-np.log(2), -np.log(2)]))
-    idx = np.concatenate([np.array(r, np.int64) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    idx = np.concatenate([np.asarray(r, np.int32) for r in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     df = np.bincount(idx, minlength=WIDTH)
     mean = np.bincount(idx, y[doc], WIDTH) / np.maximum(df, 1)
     z = (mean - y.mean()) * np.sqrt(df) / max(y.std(), 1e-9)
@@ -166,10 +166,10 @@ def fit(df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "tex
     def make():
         from stradale.llm.grade import feature_places
 
-        return lambda texts: [(feature_places(t),) for t in texts]
+        return lambda texts: [(np.array(feature_places(t), np.int32).tobytes(),) for t in texts]
 
-    got = map_texts(rated, [key, "_grade"], text, make, "places array<int>").orderBy(key, "_grade").toPandas()
-    return train([list(p) for p in got.places], got._grade.tolist())
+    got = map_texts(rated, [key, "_grade"], text, make, "places binary").orderBy(key, "_grade").toPandas()
+    return train([np.frombuffer(p, np.int32) for p in got.places], got._grade.tolist())
 
 
 def graded(labels: DataFrame) -> DataFrame:
