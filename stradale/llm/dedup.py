@@ -7,21 +7,26 @@ minhash each, in 10 chunks of 6. By the pigeonhole principle two signatures that
 times, each time with another symbol left out. All pairs within 19 of 60 share a bucket for
 certain, and a pair with similarity 0.8 misses every bucket with probability 3e-5.
 
-Buckets are never expanded into all pairs. Links are found in rounds:
-
-1. every member of a bucket is compared with the bucket's smallest document, classes are merged;
-2. buckets that still hold several classes, up to SMALL members: the pairs across classes;
-3. larger such buckets: again the smallest member of each class but the first is compared with the
-   members of other classes, while that merges anything; what then remains is compared in blocks
-   across classes. Pairs already decided are not compared again.
-
-A pair is confirmed on the full sets (64-bit shingle hashes). Before that a pair whose signatures
-differ in more than 30 of 60 symbols is given up (a pair with similarity 0.8 is beyond with
-probability below 1e-7).
+Buckets are never expanded into all pairs. Links are found in three steps, each of which merges
+classes and compares only documents of different classes:
+
+1. every document meets the smallest and the largest document of its buckets (one each);
+2. buckets of up to SMALL members that hold several classes: the pairs across classes;
+3. larger buckets, exactly, in blocks. Documents without enough shared shingles leave first:
+   with c(A) shingles of A that any other remaining document has, |A and B| <= c(A), so that in
+   groups that share a passage but differ otherwise hardly any document stays. Larger
+   buckets that hold several classes are joined into families; the documents outside a family's largest class
+   meet all its documents, one row being a pair of blocks of about BLOCK_SHINGLES shingles.
+   A block pair intersects full sets and gives as few links as span the classes it connects.
+
+Pairs already decided are not compared again. A pair is confirmed on the full sets (64-bit shingle
+hashes). Before that a pair whose signatures differ in more than FAR of 60 symbols is given up (a
+pair with similarity 0.8 is beyond with probability 2e-5).
 
 Defined cases: null or empty texts, or texts without words, have empty sets, link with nothing and
 are kept; with fewer words than `words` the whole sequence is the one shingle; rows that repeat a
-doc_id stand for one document, whose links are those of all its texts.
+doc_id stand for one document, whose links are those of all its texts; a row without a doc_id has no
+class of its own: it takes that of rows with an equal set, or none, and is then kept.
 """
 
 from __future__ import annotations
@@ -36,10 +41,10 @@ from .common import WORD, map_texts, ship, stored
 
 CHUNKS, CHUNK = 10, 6
 SYMBOLS = CHUNKS * CHUNK
-FAR = 30
+FAR = 26
 SMALL = 24
-#: Rounds of pivots before large buckets are compared in blocks.
-ROUNDS = 8
+#: Shingles of a block, on average (8 bytes each).
+BLOCK_SHINGLES = 1 << 17
 #: Odd multipliers and offsets of the 60 hash functions, from a fixed seed.
 _RNG = np.random.default_rng(20240607)
 MULT = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,7 +67,7 @@ def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of a text's words, A-Z lower-cased."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()  # bytes.split cuts at the same six bytes
     got = _HASHES
-    if len(got) > 400_000:
+    if len(got) > 150_000:
         got.clear()
     out = []
     for w in words:
@@ -158,6 +163,90 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
+def shared_counts(reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, n, c): shingles of each of these documents, and those that another of them has too."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                x = np.frombuffer(b.column(1)[i].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), b.column(0)[i].as_py())), pa.array(x)], names=["rep", "hash"])
+
+    own = sets.join(reps, "rep", "left_semi")
+    rows = own.select("rep", "hashes").mapInArrow(run, "rep long, hash long")
+    once = rows.groupBy("hash").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("k")).where("k = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+    n = (F.length("hashes") / 8).cast("long")
+    return own.groupBy("rep").agg(F.max(n).alias("n")).join(once, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+
+
+def block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across classes among documents that share a bucket.
+
+    rest: (first, rep, own), the smallest documents of a document's buckets, the document, its class.
+    """
+    spark = rest.sparkSession
+    mixed = lambda df: df.groupBy("first").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("first")
+    rest = stored(spark, rest, "rest")
+    rest = stored(spark, rest.join(stored(spark, mixed(rest), "mixed"), "first", "left_semi"), "open")
+    able = stored(spark, shared_counts(rest.select("rep").distinct(), sets).where(100 * F.col("c") >= percent * F.col("n")), "able")
+    rest = stored(spark, rest.join(able.select("rep", "n"), "rep"), "able-in")
+    near_by = stored(spark, rest.join(stored(spark, mixed(rest), "mixed"), "first", "left_semi"), "near-by")
+    family = components(near_by.select(F.col("first").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct())
+    docs = stored(spark, near_by.select("rep", "own", "n").distinct().join(family.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep"), "family")
+    by_class = docs.groupBy("family", "own").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m"))
+    home = by_class.groupBy("family").agg(F.max(F.struct("k", "own"))["own"].alias("home"), F.sum("m").alias("m"))
+    docs = docs.join(stored(spark, home, "home"), "family").withColumn("part", F.when(F.col("own") == F.col("home"), 0).otherwise(1))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK_SHINGLES).cast("long")))
+    whole = docs.join(sets, "rep")
+    cols = ("rep", "own", "hashes")
+    blocks = stored(spark, whole.groupBy("family", "part", "block").agg(*[F.collect_list(F.col(c)).alias(c) for c in cols]), "blocks")
+    x = blocks.where("part = 1").select("family", F.col("block").alias("xb"), *[F.col(c).alias(f"x_{c}") for c in cols])
+    y = blocks.select("family", F.col("part").alias("yp"), F.col("block").alias("yb"), *[F.col(c).alias(f"y_{c}") for c in cols])
+    both = x.join(y, "family").where((F.col("yp") == 0) | (F.col("yb") >= F.col("xb")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        def row(b, i, at):
+            rep, own = (np.array(b.column(at + k)[i].values) for k in range(2))
+            return rep, own, [np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(at + 2)[i].values]
+
+        for b in batches:
+            for i in range(b.num_rows):
+                (xr, xo, xs), (yr, yo, ys) = row(b, i, 0), row(b, i, 3)
+                # postings of the block: each hash with the documents that have it
+                size = np.array([len(s) for s in ys])
+                every = np.concatenate(ys)
+                order = np.argsort(every, kind="stable")
+                owner = np.repeat(np.arange(len(ys)), size)[order]
+                every = every[order]
+                out = []
+                up: dict[int, int] = {}  # classes that this pair of blocks has joined
+
+                def find(k: int) -> int:
+                    while k in up:
+                        k = up[k]
+                    return k
+
+                for r, o, s in zip(xr, xo, xs):
+                    lo, hi = np.searchsorted(every, s), np.searchsorted(every, s, "right")
+                    k = hi - lo
+                    at = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+                    both_n = np.bincount(owner[at], minlength=len(ys))
+                    ok = (yo != o) & (yr != r) & (100 * both_n >= percent * (len(s) + size - both_n))
+                    for j in np.flatnonzero(ok):
+                        p, q = find(int(o)), find(int(yo[j]))
+                        if p != q:
+                            up[max(p, q)] = min(p, q)
+                            out.append((int(r), int(yr[j])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["a", "b"])
+
+    return both.select(*[f"{p}_{c}" for p in "xy" for c in cols]).mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of the links (a, b).
 
@@ -205,7 +294,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
 
     entries = sigs.select("rep", F.explode(bucket_keys(F.col("sig"))).alias("bucket"))
     first = entries.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n"))
-    first = stored(spark, first.where("first < last").select("bucket", "first", "n"), "first")
+    first = stored(spark, first.where("first < last"), "first")
     member = stored(spark, entries.join(first, "bucket"), "buckets")
 
     # full sets of those that share a bucket with another document only
@@ -228,52 +317,42 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
             p = p.join(tried, ["a", "b"], "left_anti")
         return p
 
-    def decide(pairs: DataFrame) -> int:
-        """Compare pairs, merge classes; the number of links found."""
-        nonlocal links, label, tried
-        asked = stored(spark, across(pairs), "pairs")
-        found = stored(spark, confirm(near(asked, sigs), sets, percent), "found")
-        n = found.count()
-        tried = asked if tried is None else tried.union(asked)
-        if n or label is None:
+    def classed(df: DataFrame) -> DataFrame:
+        """df with `own`, the class of its rep."""
+        return df.join(label.select(F.col("node").alias("rep"), F.col("label").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
+
+    def merge(found: DataFrame) -> None:
+        """Add links and renew the classes."""
+        nonlocal links, label
+        found = stored(spark, found, "found")
+        if label is None or found.limit(1).count():
             links = found if links is None else links.union(found)
             label = components(links)
-        return n
-
-    decide(member.where(F.col("rep") != F.col("first")).groupBy("rep").agg(F.min("first").alias("a")).select("a", F.col("rep").alias("b")))
-    for _ in range(ROUNDS):
-        now = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("bucket", "low")
-        now = stored(spark, now.join(stored(spark, mixed, "mixed"), "bucket").select("bucket", "rep", "label", "low", "n"), "open")
-        small = (
-            now.where(F.col("n") <= SMALL)
-            .select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
-            .join(now.where(F.col("n") <= SMALL).select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb")), "bucket")
-            .where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")))
-            .select("a", "b")
-        )
-        # the smallest member outside the bucket's first class meets the members of other classes,
-        # the smallest member of the first class those outside it
-        large = now.where(F.col("n") > SMALL)
-        pivots = large.groupBy("bucket").agg(
-            F.min("rep").alias("p0"), F.min(F.when(F.col("label") != F.col("low"), F.struct("rep", "label"))).alias("p1")
-        )
-        met = large.join(stored(spark, pivots, "pivots"), "bucket")
-        large_pairs = met.where(F.col("label") != F.col("p1.label")).select(F.col("p1.rep").alias("a"), F.col("rep").alias("b")).union(
-            met.where(F.col("label") != F.col("low")).select(F.col("p0").alias("a"), F.col("rep").alias("b"))
-        )
-        if decide(small.union(large_pairs)) == 0:
-            break
-    # what large buckets still hold in different classes: blocks across classes
-    rest = now.where(F.col("n") > SMALL).join(label.withColumnRenamed("node", "rep").withColumnRenamed("label", "own"), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
-    if rest.limit(1).count():
-        blocks = 16
-        salt = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
-        left = rest.select("bucket", salt.alias("block"), F.col("rep").alias("a"), F.col("own").alias("la"))
-        right = rest.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("rep").alias("b"), F.col("own").alias("lb"))
-        decide(left.join(right, ["bucket", "block"]).where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))).select("a", "b"))
+
+    def decide(pairs: DataFrame) -> None:
+        """Compare pairs that were not compared before."""
+        nonlocal tried
+        asked = stored(spark, across(pairs), "pairs")
+        tried = asked if tried is None else tried.union(asked)
+        merge(confirm(near(asked, sigs), sets, percent))
+
+    ends = member.where("rep <> first").groupBy("rep").agg(F.min("first").alias("a"))
+    ends = ends.unionByName(member.where("rep <> last").groupBy("rep").agg(F.max("last").alias("a")))
+    decide(ends.select("a", F.col("rep").alias("b")))
+
+    small = classed(member.where(F.col("n") <= SMALL).select("bucket", "rep"))
+    mixed = small.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
+    small = stored(spark, small.join(stored(spark, mixed.select("bucket"), "mixed"), "bucket"), "small")
+    left = small.select("bucket", F.col("rep").alias("a"), F.col("own").alias("la"))
+    right = small.select("bucket", F.col("rep").alias("b"), F.col("own").alias("lb"))
+    decide(left.join(right, "bucket").where("la <> lb and a < b").select("a", "b"))
+
+    # large buckets go by their smallest document: a document has few such, its buckets have many
+    large = stored(spark, member.where(F.col("n") > SMALL).groupBy("first", "rep").agg(F.count(F.lit(1)).alias("n")).select("first", "rep"), "large")
+    if large.limit(1).count():
+        merge(block_links(classed(large), sets, percent))
 
     own = label.withColumnRenamed("node", "rep")
     out = docs.join(own, "rep", "left")
     comp = F.coalesce("label", "rep", "_key")
-    return out.select(F.col("_key").alias(key), "n_shingles", comp.alias("component_id"), (comp == F.col("_key")).alias("kept"))
+    return out.select(F.col("_key").alias(key), "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("_key"), comp.isNull()).alias("kept"))
