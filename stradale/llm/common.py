@@ -35,13 +35,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where a session has none (tests on one machine) is a folder of our own set.
+    Only where a session has none (tests on one machine) is a checkpoint folder of our own set.
     """
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "stradale-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = sc.getCheckpointDir()
+    if not found:
+        sc.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "stradale-shared"))
+        found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
