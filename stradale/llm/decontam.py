@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: candidates by words and rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared lower-cased and without punctuation. Every test item gives its n-grams of SEED
 words that occur in at most RARE items (all of them where none is rare; the whole item where it is
@@ -7,6 +7,10 @@ shorter). A passage of a document that shares a seed with an item is aligned wit
 document is contaminated if it reaches THRESHOLD for any item, which edited and paraphrased copies
 do while chance overlaps and short quotes do not.
 
+No copy that reaches the threshold needs a seed: a passage is also aligned if words of the item at +2
+and others at -1, in any order, reach the threshold, which no alignment exceeds. Only items of whose
+rarest words the text has one are looked at; the threshold leaves room for all others to be missed.
+
 The items go to all tasks in blocks of bounded size (BLOCK_CHARS characters); a larger benchmark is
 taken block by block. Documents are read where they lie; nothing is shuffled unless there are
 several blocks.
@@ -17,6 +21,7 @@ aligned once over the joined windows; ties between items go to the smallest item
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -34,7 +39,8 @@ CACHE = 150_000
 class Index:
     """Seeds of a block of items, and the alignment with them."""
 
-    def __init__(self, items: list[tuple[int, str | None]], seed: int = SEED, rare: int = RARE):
+    def __init__(self, items: list[tuple[int, str | None]], seed: int = SEED, rare: int = RARE, threshold: float = THRESHOLD):
+        self.threshold = threshold
         self.vocab: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for k, t in sorted(items, key=lambda x: x[0]):
@@ -60,6 +66,18 @@ class Index:
                     spots.append(use)
             order = np.argsort(np.array(keys, np.uint64), kind="stable")
             self.tables.append((n, np.array(keys, np.uint64)[order], [spots[i] for i in order]))
+        # each item's words, and for each word the items that have it among their rarest
+        self.first = np.cumsum([0, *(len(w) for _, w in self.items)])
+        self.flat = np.concatenate([w for _, w in self.items]) if self.items else np.zeros(0, np.int64)
+        many = np.zeros(len(self.vocab), np.int64)
+        for _, w in self.items:
+            many[np.unique(w)] += 1
+        self.least = np.array([max(1, math.ceil(threshold * len(w) - 1e-9)) for _, w in self.items], np.int64)
+        rarest = [np.unique(w[np.argsort(many[w], kind="stable")[: max(0, len(w) - m + 1)]]) for (_, w), m in zip(self.items, self.least)]
+        words = np.concatenate([*rarest, np.zeros(0, np.int64)])
+        order = np.argsort(words, kind="stable")
+        self.with_word = np.repeat(np.arange(len(rarest)), [len(r) for r in rarest])[order]
+        self.word_first = np.searchsorted(words[order], np.arange(len(self.vocab) + 1))
 
     @staticmethod
     def hash(columns: np.ndarray) -> np.ndarray:
@@ -85,8 +103,40 @@ class Index:
         got = np.array(out, np.int64)
         return got[got != -2]
 
+    def passages(self, w: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, start, end) wherever the item's words in any order reach the threshold."""
+        held = np.zeros(len(self.vocab) + 1, bool)  # the last one for words of no item
+        held[w] = True
+        held[-1] = False
+        some = np.unique(self.with_word[spread(self.word_first, np.flatnonzero(held))])
+        if not len(some):
+            return []
+        size = self.first[some + 1] - self.first[some]
+        n_held = np.add.reduceat(held[self.flat[spread(self.first, some)]], np.cumsum(size) - size, dtype=np.int64)
+        out = []
+        mine = np.zeros(len(held), bool)
+        known = np.flatnonzero(w >= 0)
+        words, triple = w[known], 3 * np.arange(len(known))
+        for i in some[n_held >= self.least[some]]:
+            item = self.items[i][1]
+            mine[item] = True
+            at = known[mine[words]]
+            mine[item] = False
+            less = at - triple[: len(at)]  # from the p-th of the item's words to the q-th the sum is less[p] - less[q] + 2
+            if ((np.maximum.accumulate(less) - less).max() + 2) / (2 * len(item)) < self.threshold:
+                continue
+            step = np.full(len(w), -1)
+            step[at] = 2
+            total = np.concatenate([[0], np.cumsum(step)])
+            above = total - np.minimum.accumulate(total)  # best sum of a passage that ends here
+            cut = np.flatnonzero(above == 0)  # no alignment is positive across these
+            for a, b in zip(cut, [*cut[1:], len(w)]):
+                if above[a : b + 1].max() / (2 * len(item)) >= self.threshold:
+                    out.append((int(i), int(a), int(b)))
+        return out
+
     def matches(self, text: str | None) -> list[tuple[int, float]]:
-        """(item id, score) of every item that shares a seed with the text."""
+        """(item id, score) of every item that shares a seed with the text or may reach the threshold."""
         if not text or not self.items:
             return []
         w = self.numbers(text)
@@ -103,11 +153,16 @@ class Index:
             for hit in np.flatnonzero(keys[k] == h):
                 for i, p in spots[k[hit]]:
                     starts.setdefault(i, []).append(int(at[hit]) - p)
-        out = []
+        found: dict[int, float] = {}
+        for i, a, b in self.passages(w):
+            found[i] = max(found.get(i, 0.0), align(self.items[i][1], w[a:b]))
+        for i in found.keys() - starts.keys():
+            if found[i] < self.threshold:
+                del found[i]  # a chance overlap
         for i, begin in starts.items():
-            k, item = self.items[i]
+            _, item = self.items[i]
             slack = len(item) // 2 + 2
-            best, lo, hi = 0.0, None, None
+            best, lo, hi = found.get(i, 0.0), None, None
             for s in [*sorted(set(begin)), None]:
                 if s is not None and lo is not None and s - slack <= hi:
                     hi = max(hi, s + len(item) + slack)
@@ -116,16 +171,22 @@ class Index:
                     best = max(best, align(item, w[max(0, lo) : hi]))
                 if s is not None:
                     lo, hi = s - slack, s + len(item) + slack
-            out.append((k, best))
-        return out
+            found[i] = best
+        return [(self.items[i][0], s) for i, s in found.items()]
 
-    def verdict(self, text: str | None, threshold: float = THRESHOLD) -> tuple[int, int | None, float]:
+    def verdict(self, text: str | None) -> tuple[int, int | None, float]:
         """(items that reach the threshold, best such item, best score of any item)."""
         found = self.matches(text)
-        hits = [(-s, k) for k, s in found if s >= threshold]
+        hits = [(-s, k) for k, s in found if s >= self.threshold]
         return len(hits), min(hits)[1] if hits else None, max((s for _, s in found), default=0.0)
 
 
+def spread(first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Positions first[r] to first[r + 1] of all rows, one after the other."""
+    size = first[rows + 1] - first[rows]
+    return np.repeat(first[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def align(item: np.ndarray, words: np.ndarray, match: int = 2, miss: int = 1, gap: int = 1) -> float:
     """Best local alignment over the score of the whole item. Rows run over the item's words."""
     steps = gap * np.arange(len(words) + 1)
@@ -162,8 +223,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
         def make(sent=sent):
             from stradale.llm.decontam import Index
 
-            index = Index(sent.value)
-            return lambda texts: [index.verdict(t, threshold) for t in texts]
+            index = Index(sent.value, threshold=threshold)
+            return lambda texts: [index.verdict(t) for t in texts]
 
         one = map_texts(df, [key], text, make, SCHEMA)
         out = one if out is None else out.union(one)
@@ -184,8 +245,8 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
         def make(sent=sent):
             from stradale.llm.decontam import Index
 
-            index = Index(sent.value)
-            return lambda texts: [index.verdict(t, threshold)[0] == 0 for t in texts]
+            index = Index(sent.value, threshold=threshold)
+            return lambda texts: [index.verdict(t)[0] == 0 for t in texts]
 
         df = rewrite_texts(df, text, make)
     return df

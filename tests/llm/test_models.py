@@ -211,6 +211,32 @@ def test_edited_copies_are_found_and_quotes_are_not():
     assert index.verdict(None) == index.verdict("") == (0, None, 0.0)
 
 
+def test_evenly_edited_copies_are_found():
+    rng = random.Random(7)
+    w = lambda n: [f"t{rng.randrange(4000)}" for _ in range(n)]
+    items = [(i, w(14 + i % 30)) for i in range(40)]
+    index = decontam.Index([(k, " ".join(x)) for k, x in items])
+    for k, x in items:
+        for every in (5, 4, 3):  # no run of five words is left
+            copy = ["other" if p % every == every - 1 else y for p, y in enumerate(x)]
+            n, best, score = index.verdict(" ".join(w(80) + copy + w(80)))
+            whole = plain_align(x, copy)
+            assert (n, best, score) == (1, k, pytest.approx(whole)) if whole >= 0.5 else n == 0
+        fuller = [z for p, y in enumerate(x) for z in ((y, "and") if p % 2 else (y,))]  # two words, then a new one
+        assert index.verdict(" ".join(w(80) + fuller + w(80)))[:2] == (1, k)
+
+
+def test_no_alignment_over_the_threshold_is_missed():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        word = lambda n: [f"t{x}" for x in rng.integers(0, 25, n)]
+        items = [(k, word(rng.integers(1, 15))) for k in range(8)]
+        text = word(60)
+        want = {k for k, x in items if plain_align(x, text) >= 0.5}
+        got = {k for k, s in decontam.Index([(k, " ".join(x)) for k, x in items]).matches(" ".join(text)) if s >= 0.5}
+        assert got == want
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "benchmark"))
     one = decontam.decontaminate(docs, bench).toPandas().sort_values("doc_id").reset_index(drop=True)
