@@ -1,8 +1,9 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
 A document fails a rule by its own counts. Failures are then aggregated by host (the `source`
-column), each host's failure rate of each rule is shrunk towards the corpus by a beta prior fitted
-to all hosts by moments, and a host whose shrunk rate is far above the corpus is marked. Host
+column), each host's failure rate of each rule is shrunk towards the mean rate of the other hosts by a
+beta prior fitted to all hosts by moments, and a host whose shrunk rate is far above that mean is
+marked. Every host counts once in the mean, so no host's share of rows decides a verdict. Host
 verdicts go back to the documents: in a marked host a document that is near the rule's limit (a
 softer limit) is dropped too; elsewhere only the plain rule decides.
 
@@ -109,22 +110,26 @@ def host_rates(counts: DataFrame) -> DataFrame:
     """Per host: documents, failures and shrunk rate of each rule, and its verdict.
 
     The prior is fitted by moments over hosts: mean m and variance v of the rates give a strength
-    s = m(1-m)/v - 1, held between 1 and 10,000; the shrunk rate is (failures + s m) / (n + s).
+    s = m(1-m)/v - 1, held between 1 and 10,000; with o the mean rate of the other hosts, the shrunk
+    rate is (failures + s o) / (n + s). A host without others is not marked.
     """
     rules = list(RULES)
     fails = counts.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"soft_{r}").cast("long")).alias(f"f_{r}") for r in rules]
     )
     total = fails.agg(
-        *[F.try_divide(F.sum(f"f_{r}"), F.sum("n")).alias(f"m_{r}") for r in rules],
+        F.count(F.lit(1)).alias("n_hosts"),
+        *[F.avg(F.col(f"f_{r}") / F.col("n")).alias(f"m_{r}") for r in rules],
         *[F.coalesce(F.var_pop(F.col(f"f_{r}") / F.col("n")), F.lit(0.0)).alias(f"v_{r}") for r in rules],
     )
     out = fails.join(F.broadcast(total))  # one row
     for r in rules:
         m = F.col(f"m_{r}")
         s = F.least(F.lit(1e4), F.greatest(F.lit(1.0), F.coalesce(F.try_divide(m * (1 - m), F.col(f"v_{r}")) - 1, F.lit(1e4))))
-        out = out.withColumn(f"rate_{r}", (F.col(f"f_{r}") + s * m) / (F.col("n") + s))
-        out = out.withColumn(f"bad_{r}", (F.col(f"rate_{r}") > HOST_FACTOR * m) & (F.col(f"rate_{r}") > HOST_FLOOR))
+        own = F.col(f"f_{r}") / F.col("n")
+        other = F.coalesce(F.greatest(F.lit(0.0), F.try_divide(m * F.col("n_hosts") - own, F.col("n_hosts") - 1)), own)
+        out = out.withColumn(f"rate_{r}", (F.col(f"f_{r}") + s * other) / (F.col("n") + s))
+        out = out.withColumn(f"bad_{r}", (F.col(f"rate_{r}") > HOST_FACTOR * other) & (F.col(f"rate_{r}") > HOST_FLOOR))
     return out.select("host", "n", *[f"rate_{r}" for r in rules], *[f"bad_{r}" for r in rules])
 
 

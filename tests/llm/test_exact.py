@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stradale.llm import dedup, pieces, pii, rules, secrets
 from stradale.llm.queries import QUERIES
@@ -156,6 +157,17 @@ def test_marked_host_drops_borderline_documents_only(spark):
     assert got[0] and got[200] and got[201] and not got[100]
 
 
+@pytest.mark.parametrize("n_hot", [10, 200, 2000])
+def test_share_of_rows_does_not_decide_a_host(spark, n_hot):
+    rows = [(i, f"h{i % 10}", False) for i in range(100)] + [(i, "small", True) for i in range(20)] + [(i, "hot", True) for i in range(n_hot)]
+    counts = spark.createDataFrame(rows, "doc_id long, host string, bad boolean")
+    counts = counts.select("host", "doc_id", (F.col("doc_id") % 100).alias("n_words"), *[F.col("bad").alias(f"soft_{r}") for r in [*rules.RULES, "words"]])
+    got = {r["host"] for r in rules.host_rates(counts).where("bad_symbols").collect()}
+    assert got == {"hot", "small"}
+    alone = rules.host_rates(counts.where("host = 'hot'")).collect()
+    assert len(alone) == 1 and alone[0]["bad_symbols"] is False
+
+
 def test_rules_stay_on_the_jvm(spark, sf):
     plan = rules.word_counts(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
