@@ -8,7 +8,7 @@ verdicts go back to the documents: in a marked host a document that is near the
 softer limit) is dropped too; elsewhere only the plain rule decides.
 
 Rules: too few words, repeated 3-word windows, symbols, duplicate lines. Each has a plain and a
-softer limit (RULES).
+softer limit (RULES; MIN_WORDS and SOFT_MIN_WORDS for the words, of which a document fails below).
 
 Defined cases: a null or empty text has no words and fails; a null host is a host of its own;
 repeated rows are counted as often as they come. The counts of repeated windows go by 64-bit
@@ -113,7 +113,7 @@ def host_rates(counts: DataFrame) -> DataFrame:
     s = m(1-m)/v - 1, held between 1 and 10,000; with o the mean rate of the other hosts, the shrunk
     rate is (failures + s o) / (n + s). A host without others is not marked.
     """
-    rules = list(RULES)
+    rules = [*RULES, "words"]
     fails = counts.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"soft_{r}").cast("long")).alias(f"f_{r}") for r in rules]
     )
@@ -149,12 +149,13 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "s
     )
     for r, (v, _, soft) in RULES.items():
         counts = counts.withColumn(f"soft_{r}", F.col(v) > soft)
+    counts = counts.withColumn("soft_words", n < SOFT_MIN_WORDS)
     counts = stored(df.sparkSession, counts, "rules")
     hosts = host_rates(counts)
     both = counts.join(hosts.withColumnRenamed("host", "_host").drop("n"), F.col("host").eqNullSafe(F.col("_host")), "left")
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n)
     plain = F.lit(False)
-    by_host = F.lit(False)
+    by_host = F.col("bad_words") & F.col("soft_words")
     for r, (v, hard, _) in RULES.items():
         plain = plain | (F.col(v) > hard)
         by_host = by_host | (F.col(f"bad_{r}") & F.col(f"soft_{r}"))

@@ -157,6 +157,14 @@ def test_marked_host_drops_borderline_documents_only(spark):
     assert got[0] and got[200] and got[201] and not got[100]
 
 
+def test_a_host_of_short_documents_is_marked(spark):
+    text = lambda n, k: " ".join(f"w{i}x{k}" for i in range(n))
+    rows = [(i, text(100, i), "fine") for i in range(60)] + [(100 + i, text(30, i), "short") for i in range(30)]
+    rows += [(200, text(55, 0), "fine"), (201, text(55, 1), "short"), (202, text(60, 0), "short"), (203, text(100, 0), "short")]
+    got = {r["doc_id"]: r["kept"] for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] and got[200] and got[202] and got[203] and not got[100] and not got[201]
+
+
 @pytest.mark.parametrize("n_hot", [10, 200, 2000])
 def test_share_of_rows_does_not_decide_a_host(spark, n_hot):
     rows = [(i, f"h{i % 10}", False) for i in range(100)] + [(i, "small", True) for i in range(20)] + [(i, "hot", True) for i in range(n_hot)]
