@@ -45,7 +45,8 @@ PAIR = re.compile(rf"""(?P<q>["']?)(?P<name>(?<![A-Za-z0-9_$])(?:{NAME}))(?P=q)[
 LITERAL = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`""")
 BARE = re.compile(r"[A-Za-z0-9+/_.=$~@!%^&*-]+")
 PLUS = re.compile(r"[\x20\t]*(?:\+|\.\.)[\x20\t]*")
-HINT_CHARS = re.compile(r"""[=:][>\x20\t]*["'`A-Za-z0-9]""")
+#: Every first character of LITERAL or BARE: only texts without any pair are passed over.
+HINT_CHARS = re.compile(r"""[=:][>\x20\t]*["'`A-Za-z0-9+/_.=$~@!%^&*-]""")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -68,6 +68,14 @@ def test_secret_method_layer():
     assert secrets.redact("a password=12345678 b", secrets.scan("a password=12345678 b")[4]) == "a [SECRET] b"
 
 
+def test_secret_values_start_with_any_character():
+    named = lambda t: [t[a:b] for _, a, b in secrets.named_spans(t)]
+    for c in "+/_.=$~@!%^&*-":
+        assert all(secrets.HINT_CHARS.search(f"pwd {op} {c}x") for op in ("=", ":", ":=", "=>"))
+    assert named("pwd = $Tr0ub4dor9") == ["$Tr0ub4dor9"] and named("auth_key=_x9K2mQ77z") == ["_x9K2mQ77z"]
+    assert secrets.redact("a auth_key=_x9K2mQ77z b", secrets.scan("a auth_key=_x9K2mQ77z b")[4]) == "a auth_key=[SECRET] b"
+
+
 @given(st.text(alphabet="pasworde tkn=:\"'AKI012abcdef\n", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_secret_base_any_text(t):
