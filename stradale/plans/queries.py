@@ -586,7 +586,7 @@ def bootstrap_sem(spark, sf):
 @query()
 def resolvability(spark, sf):
     classes = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    s = T.simulate(V.way_nodes(spark, sf), "way", classes, 0.7, 0, draws=3)
+    s = T.simulate(V.way_nodes(spark, sf, every=True), "way", classes, 0.7, 0, draws=3)
     return rd(T.macro_f1(T.confusion(s, ["draw"]), ["draw"]), "macro_f1", "accuracy")
 
 

@@ -27,9 +27,10 @@ def placement(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def way_nodes(spark: SparkSession, sf: str) -> DataFrame:
+def way_nodes(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    """Nodes of ways; lines 1 and 2 of an order as in SQL, or all lines if `every`."""
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    j = li.where("l_linenumber <= 2").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    j = (li if every else li.where("l_linenumber <= 2")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(F.col("l_suppkey").cast("string").alias("chip"), F.col("l_orderkey").alias("way"), F.col("o_orderpriority").alias("klass"), F.col("l_quantity").cast("double").alias("node_length"))
 
 

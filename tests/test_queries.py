@@ -38,3 +38,13 @@ def test_query(spark, sf, duck, name):
             assert np.allclose(a[c].astype(float), b[c].astype(float), rtol=1e-8, atol=1e-8, equal_nan=True), c
         else:
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
+
+
+def test_resolvability_takes_all_nodes(spark, sf, monkeypatch):
+    from stradale.plans import queries
+
+    seen = []
+    simulate = queries.T.simulate
+    monkeypatch.setattr(queries.T, "simulate", lambda nodes, *a, **b: seen.append(nodes.count()) or simulate(nodes, *a, **b))
+    QUERIES["resolvability"](spark, sf)
+    assert seen == [spark.read.parquet(f"{sf}/lineitem.parquet").count()]
