@@ -2,14 +2,16 @@
 
 Markup is stripped into lines, one for each block of the page (paragraph, heading, list item, cell
 and so on), in page order. Lines of menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments stay in the sequence as empty lines, as do lines that are mostly links. Lengths are
-summed over sliding windows of WINDOW lines; the text surges where the sum passes a threshold and
-dives where it falls below again. Text between surge and dive is kept, ends trimmed to lines with
-text. Where the page names its article (<article>, <main>), lines outside it count as empty and any
-text is a surge; elsewhere the threshold follows the page's mean.
+reader comments stay in the sequence as empty lines, as do lines that are mostly links. A line
+weighs its length; where the page names its article (<article>, <main>), lines in it weigh SURGE
+more and lines outside it nothing. Weights are summed over sliding windows of WINDOW lines. The text
+surges where a sum reaches the page's threshold and dives where the sums fall to nothing; a surge
+reaches back to the last such dive, so that a short heading stays with its text. All lines with a
+weight between two dives are kept if the text surges between them. On a page that never surges,
+which has short lines only, all lines with a weight are kept.
 
 Defined cases: a null or empty page, or one without text, gives the empty text; unclosed and
-truncated markup is read to the end of the page; no row is dropped.
+truncated markup is read to the end of the page; repeated rows get equal results; no row is dropped.
 """
 
 from __future__ import annotations
@@ -40,8 +42,12 @@ PAGE_HEADER = {"header"}  # as a class or id word, outside an article only  # fm
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "alertdialog", "menu", "menubar"}
 # ----------------------------------------------------------------------------------------------------
 
-WINDOW = 3
-MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: Lines of a window, and the bounds of a page's threshold (characters in a window).
+WINDOW, QUIET, SURGE = 3, 40, 120
+#: A quote opens a value only after an equals sign; every tag ends at `>` or at the page's end, so a scan never goes back.
+MARKUP = re.compile(
+    r"<!--.*?(?:--!?>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S
+)
 ATTR = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 CLOSED_BY = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
@@ -72,6 +78,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+    opened: dict[str, int] = {}  # how often a name is on the stack
     skip = article = link = 0
 
     def text(raw: str) -> None:
@@ -93,6 +100,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     def pop() -> str:
         nonlocal skip, article, link
         name, bad, art = stack.pop()
+        opened[name] -= 1
         skip -= bad
         article -= art
         link -= name == "a"
@@ -114,7 +122,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         elif name == "br":
             parts.append(" ")
         if m["end"]:
-            if any(x[0] == name for x in stack):
+            if opened.get(name):
                 while True:
                     inner = stack[-1][0]
                     if inner not in INLINE:
@@ -130,13 +138,14 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if name in CLOSED_BY and any(x[0] == name for x in stack[-3:]):
             # an open element of this kind ends here, and inline elements left open in it
-            k = max(i for i, x in enumerate(stack) if x[0] == name)
+            k = max(i for i in range(max(0, len(stack) - 3), len(stack)) if stack[i][0] == name)
             if all(x[0] in INLINE for x in stack[k + 1 :]):
                 while len(stack) > k:
                     pop()
         bad = boiler(name, m["attrs"], article > 0)
         art = name in ("article", "main")
         stack.append((name, bad, art))
+        opened[name] = opened.get(name, 0) + 1
         skip += bad
         article += art
         link += name == "a"
@@ -144,34 +153,42 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the main text joined by two newlines."""
-    found = lines(page or "")
-    zone = sum(len(t) for t, _, a, bad in found if a and not bad) > 0
-    size = [0 if bad or (zone and not a) or (not zone and 2 * k > len(t)) else len(t) for t, k, a, bad in found]
-    if not any(size):
-        return ""
+def weights(found: list[tuple[str, int, bool, bool]]) -> list[int]:
+    """What each line weighs: nothing, its length, or more within the page's article."""
+    zone = any(a and not bad for _, _, a, bad in found)
+    if zone:
+        return [len(t) + SURGE if a and not bad else 0 for t, _, a, bad in found]
+    return [0 if bad or 2 * linked > len(t) else len(t) for t, linked, _, bad in found]
+
+
+def surges(size: list[int]) -> list[int]:
+    """The lines to keep, by the distribution of window sums."""
     half = WINDOW // 2
     sums = [sum(size[max(0, i - half) : i + half + 1]) for i in range(len(size))]
     full = [s for s in sums if s]
-    limit = 1 if zone else min(120.0, max(40.0, 0.4 * sum(full) / len(full)))
-    kept: list[list[int]] = []
-    open_run: list[int] = []
-    for i, s in enumerate(sums):
-        if s >= limit and size[i]:  # surge, or text that goes on
-            open_run.append(i)
-        elif s < limit and open_run:  # dive
-            kept.append(open_run)
-            open_run = []
-    if open_run:
-        kept.append(open_run)
-    if not kept:  # a page of short lines only
-        kept = [[i for i, s in enumerate(size) if s]]
-    if not zone:
-        # of several runs, those that hold a fair part of the longest one's text
-        weight = [sum(size[i] for i in run) for run in kept]
-        kept = [run for run, w in zip(kept, weight) if w >= 0.2 * max(weight)]
-    return "\n\n".join(found[i][0] for run in kept for i in run)
+    if not full:
+        return []
+    limit = min(float(SURGE), max(float(QUIET), 0.4 * sum(full) / len(full)))
+    kept: list[int] = []
+    run: list[int] = []
+    surge = False
+    for i, s in enumerate([*sums, 0]):
+        if s:
+            run.append(i)
+            surge |= s >= limit
+            continue
+        if surge:  # a dive ends a text that has surged
+            kept += run
+        run, surge = [], False
+    if not kept:
+        kept = list(range(len(size)))
+    return [i for i in kept if size[i]]
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of the main text joined by two newlines."""
+    found = lines(page or "")
+    return "\n\n".join(found[i][0] for i in surges(weights(found)))
 
 
 def extract(df: DataFrame, keys: list[str] | None = None, html: str = "html") -> DataFrame:
