@@ -4,10 +4,16 @@ Two layers. The base layer is three fixed patterns. The method's layer lexes a t
 configuration (`name = "literal"`, `name: literal`, `"name": "literal"`, `name => literal`,
 `export NAME=literal`, `name = other_name`, `name = "a" + "b"`), keeps a symbol table, propagates
 constants through copies and concatenations, and scores each literal by how sensitive the names
-are that it reaches. Literals that reach the threshold become `named` spans.
+are that it reaches. Literals that reach the threshold become `named` spans, whether or not the base
+layer has found them too: a base `assign` span holds the name, a `named` one the literal alone.
+
+The lexer goes from operator to operator and reads the name before and the value behind each, so
+that its time is linear in the text. Literals are quoted by one or three marks, or bare. A literal
+counts by its length, entropy and classes of characters; one without digits counts only if it is
+quoted and its name as good as says that it is a secret.
 
 Defined cases: a null text counts as empty; an empty text has no spans; repeated rows get equal
-results; a name bound twice holds its latest literal; spans that overlap a base span are not added.
+results; a name bound twice holds its latest literal.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs, so the same matches as runs
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "named")
 SENSITIVE = {
-    "password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 2.5, "apikey": 3,
+    "password": 3, "passwd": 3, "passphrase": 3, "passcode": 3, "pass": 2.5, "pwd": 3, "pw": 2.5, "secret": 3, "token": 2.5, "apikey": 3,
     "privatekey": 3, "accesskey": 3, "secretkey": 3, "authkey": 3, "signingkey": 3, "encryptionkey": 3,
     "credential": 2.5, "credentials": 2.5, "bearer": 2.5, "auth": 1.5, "authorization": 2, "connectionstring": 2,
     "salt": 1, "key": 1,
@@ -39,14 +45,17 @@ SENSITIVE = {
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "token", "none", "null", "true", "false", "undefined", "yourpassword", "xxxxxxxx"}
 # ------------------------------------------------------------------------------------------------
 
-NAME = r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*"
-#: name, operator, then a value: what may stand for a pair in source or configuration.
-PAIR = re.compile(rf"""(?P<q>["']?)(?P<name>(?<![A-Za-z0-9_$])(?:{NAME}))(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*""")
-LITERAL = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`""")
+#: What binds a value to a name; `==`, `::` and comparisons do not.
+OPERATOR = re.compile(r"(?<![=:!<>+*/%^|&~-])(?::=|=>|=(?![=~])|:(?![:=]))(?=[\x20\t]*[\"'`A-Za-z0-9+/_.=$~@!%^&*-])")
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
+BLANK = frozenset("\x20\t")
+MARKS = frozenset("\"'`")
+SPACE = re.compile(r"[\x20\t]*+")
+LITERAL = re.compile(r'''"{3}(?P<a>.*?)"{3}|\'{3}(?P<b>.*?)\'{3}|"(?P<c>(?:[^"\\\n]|\\.)*+)"|\'(?P<d>(?:[^\'\\\n]|\\.)*+)\'|`(?P<e>[^`\n]*+)`''', re.S)
 BARE = re.compile(r"[A-Za-z0-9+/_.=$~@!%^&*-]+")
-PLUS = re.compile(r"[\x20\t]*(?:\+|\.\.)[\x20\t]*")
-#: Every first character of LITERAL or BARE: only texts without any pair are passed over.
-HINT_CHARS = re.compile(r"""[=:][>\x20\t]*["'`A-Za-z0-9+/_.=$~@!%^&*-]""")
+PLUS = re.compile(r"[\x20\t]*+(?:\+|\.\.)[\x20\t]*+")
+#: Weight of a name from which a quoted literal without digits may be a secret.
+PLAIN = 2.5
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -75,37 +84,54 @@ def sensitivity(name: str) -> float:
     return best
 
 
-def strength(literal: str) -> float:
-    """How much a literal looks like a secret, 0 to 1: length, entropy and mixture of classes."""
+def strength(literal: str, plain: bool = False) -> float:
+    """How much a literal looks like a secret, 0 to 1: length, entropy and mixture of classes.
+
+    plain: one without digits or of one class of letters counts as well.
+    """
     if len(literal) < 8 or literal.lower().strip("<>{}$%") in PLACEHOLDERS:
         return 0.0
     if re.match(r"(?:\$\{|\{\{|<|%\(|https?://|\./|/)", literal) or len(set(literal)) < 5 or " " in literal:
         return 0.0
     classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    if classes < 2 or not re.search("[0-9]", literal):
+    if not plain and (classes < 2 or not re.search("[0-9]", literal)):
         return 0.0
     return min(1.0, entropy(literal) / 3.5)
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int, list[str]]]:
-    """The lexed bindings: (name, value, start, end, names it copies), spans being those of literals.
+def name_before(text: str, at: int, since: int) -> str:
+    """The name that ends before `at`, blanks and a closing mark left out; not before `since`."""
+    while at > since and text[at - 1] in BLANK:
+        at -= 1
+    if at > since and text[at - 1] in MARKS:
+        at -= 1
+    end = at
+    while at > since and text[at - 1] in NAME_CHARS:
+        at -= 1
+    name = text[at:end].strip(".-")
+    return name if name and not name[0].isdigit() else ""
 
-    A concatenation yields its parts under one name with the joined value.
-    """
+
+def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """The lexed bindings: a name and its value, which is one literal or several that are joined (text, start, end)."""
     out = []
-    pos = 0
-    while m := PAIR.search(text, pos):
-        at, parts, copies = m.end(), [], []
+    since = at = 0  # nothing before belongs to a further name; where the search goes on
+    while m := OPERATOR.search(text, at):
+        name = name_before(text, m.start(), since)
+        if not name:
+            since = at = m.end()
+            continue
+        at, parts, bare = SPACE.match(text, m.end()).end(), [], None
         while True:
             if lit := LITERAL.match(text, at):
-                parts.append((text[lit.start() + 1 : lit.end() - 1], lit.start() + 1, lit.end() - 1))
+                a, b = lit.span(lit.lastgroup)
+                parts.append((text[a:b], a, b))
                 at = lit.end()
             elif bare := BARE.match(text, at):
                 word = bare[0].rstrip(".,;!")
                 if not word:
                     break
                 parts.append((word, at, at + len(word)))
-                copies.append(word)
                 at += len(word)
             else:
                 break
@@ -113,30 +139,42 @@ def pairs(text: str) -> list[tuple[str, str, int, int, list[str]]]:
                 break
             at = plus.end()
         if parts:
-            value = "".join(p[0] for p in parts)
-            out += [(m["name"], value, s, e, copies) for _, s, e in parts]
-        pos = max(at, m.end()) if parts else m.end()
+            out.append((name, parts))
+        # a bare value may be the next name, as in `a: b = "c"`
+        since = parts[0][1] if len(parts) == 1 and bare else max(at, m.end())
+        at = max(at, m.end())
     return out
 
 
 def named_spans(text: str, threshold: float = 1.5) -> list[tuple[str, int, int]]:
-    """Literals whose best target name, through propagated copies, makes them a secret."""
-    if not HINT_CHARS.search(text):
+    """Literals whose best target name, through propagated copies, makes them a secret.
+
+    A binding knows the bindings it copies from; weights go back along these from the last binding to
+    the first, each taken once, so that long chains of copies cost no more than their number.
+    """
+    if "=" not in text and ":" not in text:
         return []
-    bound: dict[str, list[tuple[str, int, int]]] = {}
+    quoted = lambda s: s > 0 and text[s - 1] in MARKS
+    last: dict[str, int] = {}  # the latest binding of a name
+    weights: list[float] = []
+    sources: list[list[int]] = []
+    held: list[list[tuple[str, int, int]]] = []
+    for name, parts in pairs(text):
+        weights.append(sensitivity(name))
+        sources.append([last[w] for w, s, _ in parts if not quoted(s) and w in last])
+        # the joined value of a concatenation counts, the span is that of each part; names that are bound are no literals
+        value = "".join(p[0] for p in parts)
+        held.append([(value, s, e) for w, s, e in parts if quoted(s) or not sources[-1]])
+        last[name] = len(weights) - 1
     best: dict[tuple[int, int], float] = {}
-    for name, value, s, e, copies in pairs(text):
-        quoted = s > 0 and text[s - 1] in "\"'`"
-        weight = sensitivity(name)
-        held = [(value, s, e)]
-        if not quoted and (source := bound.get(text[s:e])):
-            held = source  # a copy: the name stands for the literals of its source
-        elif not quoted and len(copies) > 1:
-            held = [x for c in copies for x in bound.get(c, [])] or held
-        bound[name] = held
-        for v, a, b in held:
-            # the joined value of a concatenation counts, the span is that of each part
-            best[a, b] = max(best.get((a, b), 0.0), weight * strength(v))
+    for i in range(len(weights) - 1, -1, -1):
+        w = weights[i]
+        for j in sources[i]:
+            weights[j] = max(weights[j], w)
+        if w and held[i]:
+            strong = [strength(held[i][0][0], plain) for plain in (False, w >= PLAIN)]  # all parts have the joined value
+            for _, a, b in held[i]:
+                best[a, b] = max(best.get((a, b), 0.0), w * strong[quoted(a)])
     return [("named", a, b) for (a, b), x in sorted(best.items()) if x >= threshold and b > a]
 
 
@@ -145,10 +183,7 @@ def scan(text: str | None, threshold: float = 1.5) -> tuple:
     text = text or ""
     base = sorted(base_spans(text), key=lambda x: (x[1], KINDS.index(x[0])))
     count = Counter(k for k, _, _ in base)
-    extra = []
-    for x in named_spans(text, threshold):
-        if not any(a < x[2] and x[1] < b for _, a, b in base):
-            extra.append(x)
+    extra = named_spans(text, threshold)
     show = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
     said = show(base)
     every = sorted(base + extra, key=lambda x: (x[1], KINDS.index(x[0]))) if extra else base
