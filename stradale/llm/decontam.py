@@ -12,11 +12,14 @@ and others at -1, in any order, reach the threshold, which no alignment exceeds.
 rarest words the text has one are looked at; the threshold leaves room for all others to be missed.
 
 The items go to all tasks in blocks of bounded size (BLOCK_CHARS characters); a larger benchmark is
-taken block by block. Documents are read where they lie; nothing is shuffled unless there are
-several blocks.
-
-Defined cases: null or empty texts and items match nothing; a document that repeats an item is
-aligned once over the joined windows; ties between items go to the smallest item id.
+taken block by block. Rarity is counted over the whole benchmark, so blocks give what one block
+would. Documents are read where they lie and carry their verdict from block to block; no document is
+shuffled.
+
+Defined cases: null or empty texts and items match nothing; an empty benchmark contaminates nothing;
+a document that repeats an item is aligned once over the joined windows; ties between items go to
+the smallest item id, a null one last; repeated rows of documents get equal results, repeated items
+count as often as they come; ids are of any type that Spark can order.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, rewrite_texts, ship
+from .common import rewrite_texts, ship, slices, stored
 
 SEED, RARE, THRESHOLD = 5, 3, 0.5
 BLOCK_CHARS = 32 << 20
@@ -39,13 +42,13 @@ CACHE = 150_000
 class Index:
     """Seeds of a block of items, and the alignment with them."""
 
-    def __init__(self, items: list[tuple[int, str | None]], seed: int = SEED, rare: int = RARE, threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[object, str | None]], seed: int = SEED, rare: int = RARE, threshold: float = THRESHOLD, common: set[str] | None = None):
+        """common: n-grams in more than `rare` items of the whole benchmark, where `items` are a part of it."""
         self.threshold = threshold
         self.vocab: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        for k, t in sorted(items, key=lambda x: x[0]):
-            words = [w for w in (NOT_WORD.sub("", x) for x in (t or "").lower().split()) if w]
-            if words:
+        self.items: list[tuple[object, np.ndarray]] = []
+        for k, t in sorted(items, key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1] or "")):
+            if words := words_of(t):
                 self.items.append((k, np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], np.int64)))
         self.raw: dict[str, int] = {}
         held: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
@@ -55,12 +58,14 @@ class Index:
             for p in range(len(w) - n + 1):
                 by.setdefault(w[p : p + n].tobytes(), []).append((i, p))
         self.tables = []
+        names = list(self.vocab)
+        said = lambda g: " ".join(names[j] for j in np.frombuffer(g, np.int64))
         for n, by in held.items():
-            common = {g for g, at in by.items() if len({i for i, _ in at}) > rare}
-            has_rare = {i for g, at in by.items() if g not in common for i, _ in at}
+            often = {g for g, at in by.items() if (len({i for i, _ in at}) > rare if common is None else said(g) in common)}
+            has_rare = {i for g, at in by.items() if g not in often for i, _ in at}
             keys, spots = [], []
             for g, at in by.items():
-                use = at if g not in common else [x for x in at if x[0] not in has_rare]
+                use = at if g not in often else [x for x in at if x[0] not in has_rare]
                 if use:
                     keys.append(self.hash(np.frombuffer(g, np.int64)[:, None])[0])
                     spots.append(use)
@@ -135,7 +140,7 @@ class Index:
                     out.append((int(i), int(a), int(b)))
         return out
 
-    def matches(self, text: str | None) -> list[tuple[int, float]]:
+    def matches(self, text: str | None) -> list[tuple[object, float]]:
         """(item id, score) of every item that shares a seed with the text or may reach the threshold."""
         if not text or not self.items:
             return []
@@ -174,11 +179,27 @@ class Index:
             found[i] = best
         return [(self.items[i][0], s) for i, s in found.items()]
 
-    def verdict(self, text: str | None) -> tuple[int, int | None, float]:
+    def verdict(self, text: str | None) -> tuple[int, object, float]:
         """(items that reach the threshold, best such item, best score of any item)."""
         found = self.matches(text)
-        hits = [(-s, k) for k, s in found if s >= self.threshold]
-        return len(hits), min(hits)[1] if hits else None, max((s for _, s in found), default=0.0)
+        hits = [(-s, k is None, k) for k, s in found if s >= self.threshold]
+        return len(hits), best_of(hits), max((s for _, s in found), default=0.0)
+
+
+def best_of(hits: list[tuple[float, bool, object]]) -> object:
+    """The item of the highest score; of equal ones the smallest, a null one last."""
+    return min(hits, key=lambda h: h if h[2] is not None else h[:2] + (0,))[2] if hits else None
+
+
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased words without punctuation."""
+    return [w for w in (NOT_WORD.sub("", x) for x in (text or "").lower().split()) if w]
+
+
+def merge(a: tuple[int, object, float], b: tuple[int, object, float]) -> tuple[int, object, float]:
+    """The verdict on two blocks of items together."""
+    hits = [(-v[2], v[1] is None, v[1]) for v in (a, b) if v[0]]
+    return a[0] + b[0], best_of(hits), max(a[2], b[2])
 
 
 def spread(first: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -200,39 +221,73 @@ def align(item: np.ndarray, words: np.ndarray, match: int = 2, miss: int = 1, ga
     return best / (match * len(item))
 
 
-def blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about BLOCK_CHARS characters; one block is on the driver at a time."""
+def grams(benchmark: DataFrame, text: str, seed: int = SEED) -> DataFrame:
+    """(gram): each item's distinct n-grams."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from stradale.llm.decontam import words_of
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                w = words_of(t)
+                n = min(seed, len(w))
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted({" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}), pa.string())], names=["gram"])
+
+    return benchmark.select(text).mapInArrow(run, "gram string")
+
+
+def blocks(benchmark: DataFrame, item: str, text: str) -> list[tuple[list[tuple[object, str]], set[str] | None]]:
+    """The items in blocks of about BLOCK_CHARS characters, with the n-grams of each that are common in the whole benchmark.
+
+    Two blocks are on the driver at a time at most. Items of the same id and text may be many; they are dealt
+    out by both, so that only repeated rows share a block.
+    """
     n = benchmark.agg(F.sum(F.length(text))).first()[0] or 0
     k = -(-n // BLOCK_CHARS) or 1
+    if k == 1:
+        yield [(r[0], r[1]) for r in benchmark.select(item, text).collect()], None
+        return
+    spark = benchmark.sparkSession
+    common = grams(benchmark, text).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RARE).select("gram")
+    common = stored(spark, common, "common-grams")
     for i in range(k):
-        part = benchmark.where(F.pmod(F.xxhash64(item), F.lit(k)) == i) if k > 1 else benchmark
-        yield [(r[0], r[1]) for r in part.select(item, text).collect()]
-
-
-SCHEMA = "n_items long, best_item long, best_score double"
+        part = benchmark.where(F.pmod(F.xxhash64(item, text), F.lit(k)) == i).select(item, text)
+        here = grams(part, text).distinct().join(common, "gram", "left_semi")
+        yield [(r[0], r[1]) for r in part.collect()], {r[0] for r in here.collect()}
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: n_items, best_item, best_score, contaminated."""
+    """One row per row of documents: key, n_items, best_item, best_score, contaminated."""
     spark = df.sparkSession
     ship(spark)
-    out = None
-    for part in blocks(benchmark, item, item_text):
-        sent = spark.sparkContext.broadcast(part)
+    kind = benchmark.schema[item].dataType.simpleString()
+    src = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast(kind).alias("best_item"), F.lit(0.0).alias("best_score"))
+    parts = blocks(benchmark, item, item_text)
+    part = next(parts)
+    while part is not None:
+        sent, part = spark.sparkContext.broadcast(part), next(parts, None)
 
-        def make(sent=sent):
-            from stradale.llm.decontam import Index
+        def run(batches, sent=sent, last=part is None):
+            import pyarrow as pa
+
+            from stradale.llm.decontam import Index, merge
 
-            index = Index(sent.value, threshold=threshold)
-            return lambda texts: [index.verdict(t) for t in texts]
+            items, common = sent.value
+            index = Index(items, threshold=threshold, common=common)
+            for whole in batches:
+                for b in slices(whole, 1):
+                    before = zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))
+                    rows = [merge(v, index.verdict(t)) for v, t in zip(before, b.column(1).to_pylist())]
+                    cols = [pa.array([r[i] for r in rows], b.schema.field(2 + i).type) for i in range(3)]
+                    texts = pa.nulls(b.num_rows, b.schema.field(1).type) if last else b.column(1)  # no further block needs them
+                    yield pa.RecordBatch.from_arrays([b.column(0), texts, *cols], schema=b.schema)
+            pa.default_memory_pool().release_unused()
 
-        one = map_texts(df, [key], text, make, SCHEMA)
-        out = one if out is None else out.union(one)
-        many = out is not one
-    if many:
-        best = F.min(F.when(F.col("n_items") > 0, F.struct((-F.col("best_score")).alias("s"), "best_item")))["best_item"]
-        out = out.groupBy(key).agg(F.sum("n_items").alias("n_items"), best.alias("best_item"), F.max("best_score").alias("best_score"))
-    return out.withColumn("contaminated", F.col("n_items") > 0)
+        src = src.mapInArrow(run, src.schema)
+    return src.select(F.col("_key").alias(key), "n_items", "best_item", "best_score", (F.col("n_items") > 0).alias("contaminated"))
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -245,7 +300,8 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
         def make(sent=sent):
             from stradale.llm.decontam import Index
 
-            index = Index(sent.value, threshold=threshold)
+            items, common = sent.value
+            index = Index(items, threshold=threshold, common=common)
             return lambda texts: [index.verdict(t)[0] == 0 for t in texts]
 
         df = rewrite_texts(df, text, make)
