@@ -20,13 +20,13 @@ classes and compares only documents of different classes:
    A block pair intersects full sets and gives as few links as span the classes it connects.
 
 Pairs already decided are not compared again. A pair is confirmed on the full sets (64-bit shingle
-hashes). Before that a pair whose signatures differ in more than FAR of 60 symbols is given up (a
-pair with similarity 0.8 is beyond with probability 2e-5).
+hashes); only pairs whose sizes rule out the similarity are not compared.
 
 Defined cases: null or empty texts, or texts without words, have empty sets, link with nothing and
 are kept; with fewer words than `words` the whole sequence is the one shingle; rows that repeat a
 doc_id stand for one document, whose links are those of all its texts; a row without a doc_id has no
-class of its own: it takes that of rows with an equal set, or none, and is then kept.
+class of its own: it takes that of rows with an equal set, or none, and is then kept. Keys are of any
+type that Spark can order; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -37,11 +37,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_texts, ship, stored
+from .common import kept, map_texts, ship, stored
 
 CHUNKS, CHUNK = 10, 6
 SYMBOLS = CHUNKS * CHUNK
-FAR = 26
 SMALL = 24
 #: Shingles of a block, on average (8 bytes each).
 BLOCK_SHINGLES = 1 << 17
@@ -120,24 +119,6 @@ def bucket_keys(sig: Column) -> Column:
     return F.array(*keys)
 
 
-def near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures differ in at most FAR symbols."""
-    both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(
-        sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b"
-    )
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = [np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, SYMBOLS) for i in (2, 3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x[0] != x[1]).sum(1) <= FAR))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * |A and B| >= percent * |A or B| on full sets."""
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(
@@ -160,7 +141,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * n >= percent * (len(x) + len(y) - n))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    kind = sets.schema["rep"].dataType.simpleString()
+    return both.select("a", "b", "ha", "hb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def shared_counts(reps: DataFrame, sets: DataFrame) -> DataFrame:
@@ -172,10 +154,10 @@ def shared_counts(reps: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 x = np.frombuffer(b.column(1)[i].as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), b.column(0)[i].as_py())), pa.array(x)], names=["rep", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(x)), pa.array(x)], names=["rep", "hash"])
 
     own = sets.join(reps, "rep", "left_semi")
-    rows = own.select("rep", "hashes").mapInArrow(run, "rep long, hash long")
+    rows = own.select("rep", "hashes").mapInArrow(run, f"rep {sets.schema['rep'].dataType.simpleString()}, hash long")
     once = rows.groupBy("hash").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("k")).where("k = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
     n = (F.length("hashes") / 8).cast("long")
     return own.groupBy("rep").agg(F.max(n).alias("n")).join(once, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
@@ -210,7 +192,7 @@ def block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         def row(b, i, at):
-            rep, own = (np.array(b.column(at + k)[i].values) for k in range(2))
+            rep, own = (b.column(at + k)[i].values.to_numpy(zero_copy_only=False) for k in range(2))
             return rep, own, [np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(at + 2)[i].values]
 
         for b in batches:
@@ -223,9 +205,9 @@ def block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(ys)), size)[order]
                 every = every[order]
                 out = []
-                up: dict[int, int] = {}  # classes that this pair of blocks has joined
+                up: dict = {}  # classes that this pair of blocks has joined
 
-                def find(k: int) -> int:
+                def find(k):
                     while k in up:
                         k = up[k]
                     return k
@@ -237,14 +219,15 @@ def block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     both_n = np.bincount(owner[at], minlength=len(ys))
                     ok = (yo != o) & (yr != r) & (100 * both_n >= percent * (len(s) + size - both_n))
                     for j in np.flatnonzero(ok):
-                        p, q = find(int(o)), find(int(yo[j]))
+                        p, q = find(o), find(yo[j])
                         if p != q:
                             up[max(p, q)] = min(p, q)
-                            out.append((int(r), int(yr[j])))
+                            out.append((r, yr[j]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, b.schema.field(0).type.value_type) for v in zip(*out)], names=["a", "b"])
 
-    return both.select(*[f"{p}_{c}" for p in "xy" for c in cols]).mapInArrow(run, "a long, b long")
+    kind = sets.schema["rep"].dataType.simpleString()
+    return both.select(*[f"{p}_{c}" for p in "xy" for c in cols]).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -273,7 +256,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_shingles, component_id (smallest key reachable), kept."""
+    """One row per document: key, n_shingles, component_id (smallest key reachable), kept.
+
+    The result is a stored table of numbers; all tables on the way to it are deleted.
+    """
+    return kept(df.sparkSession, lambda: _classes(df, words, percent, key, text), "classes")
+
+
+def _classes(df: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
 
@@ -334,7 +324,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id
         nonlocal tried
         asked = stored(spark, across(pairs), "pairs")
         tried = asked if tried is None else tried.union(asked)
-        merge(confirm(near(asked, sigs), sets, percent))
+        merge(confirm(asked, sets, percent))
 
     ends = member.where("rep <> first").groupBy("rep").agg(F.min("first").alias("a"))
     ends = ends.unionByName(member.where("rep <> last").groupBy("rep").agg(F.max("last").alias("a")))
