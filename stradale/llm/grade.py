@@ -6,11 +6,13 @@ stripped) and binned shape measures, hashed to WIDTH numbers; features in fewer
 documents, or without a clear association with the rating, carry no weight. The model is fitted here on a bounded sample of rated documents by
 Adam on the whole sample.
 
-Ratings come from labels: 0 for low quality, 1 for toxic but otherwise good, 2 for good.
+Ratings come from labels: 0 for low quality, 1 for toxic but otherwise good, 2 for good; a label
+without quality, or of good quality without a word on toxicity, is no rating.
 
 Defined cases: a null text counts as empty and gets its shape features only; without rated
-documents every document gets grade probabilities of equal size and is kept; repeated ratings of a
-document count as often as they come.
+documents every document gets the three grades with equal probability and is kept; repeated ratings
+of a document count as often as they come; grades below 0 or above 2 count as 0 and 2, null grades
+and ratings without a document do not count.
 """
 
 from __future__ import annotations
@@ -74,16 +76,17 @@ class Model:
 
     def __init__(self, weights: np.ndarray, theta: np.ndarray):
         self.weights, self.theta = weights, theta
+        self.least = KEEP_TAIL if weights.any() else 0.0  # without any weight nothing speaks against a document
         self.cache: dict[str, float] = {}
 
     def __getstate__(self):
         used = np.flatnonzero(self.weights)
-        return used, self.weights[used].astype(np.float32), self.theta
+        return used, self.weights[used].astype(np.float32), self.theta, self.least
 
     def __setstate__(self, s):
         self.weights = np.zeros(WIDTH)
         self.weights[s[0]] = s[1]
-        self.theta, self.cache = s[2], {}
+        self.theta, self.least, self.cache = s[2], s[3], {}
 
     def margin(self, text: str | None) -> float:
         words = (text or "").lower().split()
@@ -112,15 +115,15 @@ class Model:
         """(expected grade, P(grade = top), P(grade >= 1), kept) of each text."""
         m = np.array([self.margin(t) for t in texts])
         above = 1 / (1 + np.exp(np.clip(self.theta[None] - m[:, None], -60, 60)))  # P(grade > k)
-        return [(float(a.sum()), float(a[-1]), float(a[0]), bool(a[-1] >= KEEP_TAIL)) for a in above]
+        return [(float(a.sum()), float(a[-1]), float(a[0]), bool(a[-1] >= self.least)) for a in above]
 
 
 def train(rows: list, grades: list[int], steps: int = 600, rate: float = 0.05, ridge: float = 1e-5) -> Model:
     """Fit by Adam on the log-likelihood of the ratings, the sample being one batch."""
-    y = np.array(grades, int)
+    y = np.clip(np.array(grades, int), 0, GRADES - 1)
     theta = np.array([-1.0, 0.0])
     if not len(y):
-        return Model(np.zeros(WIDTH), np.array([-np.log(2), -np.log(2)]))
+        return Model(np.zeros(WIDTH), np.array([-np.log(2), np.log(2)]))
     idx = np.concatenate([np.asarray(r, np.int32) for r in rows])
     doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     df = np.bincount(idx, minlength=WIDTH)
@@ -168,13 +171,15 @@ def fit(df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "tex
 
         return lambda texts: [(np.array(feature_places(t), np.int32).tobytes(),) for t in texts]
 
-    got = map_texts(rated, [key, "_grade"], text, make, "places binary").orderBy(key, "_grade").toPandas()
+    got = map_texts(rated, [key, "_grade"], text, make, "places binary").toPandas()
+    got = got.sort_values([key, "_grade", "places"], kind="stable")  # a bounded sample, in an order of its own
     return train([np.frombuffer(p, np.int32) for p in got.places], got._grade.tolist())
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """labels (doc_id, quality, toxic) as ratings: 0 low quality, 1 toxic, 2 good."""
-    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    """labels (doc_id, quality, toxic) as ratings: 0 low quality, 1 toxic, 2 good; null where the labels say neither."""
+    grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    return labels.select("doc_id", grade.alias("grade"))
 
 
 SCHEMA = "expected_grade double, p_top double, p_above_low double, kept boolean"
