@@ -10,8 +10,10 @@ Bytes that no sample has share one class with text starts: they are coded alike
 and what follows them is coded as at a text's start. The language of the shortest code wins, ties go to the language first in
 order; the score is its posterior under equal priors.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0; an empty table gives
-an empty result; without any labelled text every row is `und`.
+Defined cases: a null text, or one without a letter (str.isalpha), is `und` with score 0; an empty
+table gives an empty result; repeated rows get equal results; without any labelled text every row is
+`und`. A model's tables are sent to every task, so their size is checked: languages whose contexts
+need more than TABLE_BYTES raise ValueError.
 """
 
 from __future__ import annotations
@@ -24,9 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, ship
 
-LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter; numbers such as fractions pass here and are told apart by str.isalpha.
+LETTER = re.compile(r"[^\W\d_]+")
+#: Bytes of a model's tables at most: some 200 languages of one alphabet.
+TABLE_BYTES = 1 << 30
 #: Bound of the sample: labelled texts a language, and bytes counted of each text's whole length.
 SAMPLE_DOCS = 1500
+#: Distinct labels at most; more are no languages.
+MAX_LANGS = 2000
 #: Bytes scored at once.
 STEP = 1 << 20
 
@@ -58,6 +65,8 @@ class Model:
         # rows: 0 for the empty context, then orders 1, 2, 3; a class triple gets its longest known one
         base1, base2, base3 = 1, 1 + len(ones), 1 + len(ones) + len(pairs)
         rows = base3 + len(triples)
+        if 4 * (rows * k * len(langs) + k**3) > TABLE_BYTES:
+            raise ValueError(f"{len(langs)} languages with {rows} contexts need tables of more than {TABLE_BYTES} bytes")
         r1 = np.zeros(k, np.int32)
         r1[ones] = base1 + np.arange(len(ones))
         r2 = np.tile(r1, k)
@@ -112,7 +121,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, bits a byte) of each text."""
         out: list[tuple[str, float, float]] = [("und", 0.0, 0.0)] * len(texts)
-        use = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        use = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if not use or not self.langs:
             return out
         raw = [texts[i].encode("utf-8", "surrogatepass") for i in use]
@@ -125,6 +134,10 @@ class Model:
         return out
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for m in LETTER.finditer(text) for c in m[0])
+
+
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 4-byte windows of texts, each behind three zero bytes, with counts."""
     data = np.frombuffer(b"".join([b"\0\0\0" + t.encode("utf-8", "surrogatepass") for t in texts]), np.uint8).astype(np.uint32)
@@ -151,11 +164,13 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     spark = df.sparkSession
     ship(spark)
     use = df.where(F.col(lang).isNotNull() & ~held_out(key))  # counted without reading a text
-    n = {r[lang]: r["n"] for r in use.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r["_k"]: r["n"] for r in use.groupBy(F.col(lang).cast("string").alias("_k")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
     langs = sorted(n)
     if not langs:
         return Model([], {})
-    share = F.coalesce(*[F.when(F.col(lang) == k, F.lit(min(1.0, sample_docs / v))) for k, v in n.items()])
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    share = F.element_at(F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, sample_docs / v))]), F.col(lang).cast("string"))
     u = F.pmod(F.xxhash64(F.lit(17), F.col(key).cast("string")), F.lit(1 << 20)) / float(1 << 20)
     sample = use.where(F.col(text).isNotNull() & (u < share)).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
