@@ -1,11 +1,12 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
-A document fails a rule by its own counts. Failures are then aggregated by host (the `source`
-column), each host's failure rate of each rule is shrunk towards the mean rate of the other hosts by a
-beta prior fitted to all hosts by moments, and a host whose shrunk rate is far above that mean is
-marked. Every host counts once in the mean, so no host's share of rows decides a verdict. Host
-verdicts go back to the documents: in a marked host a document that is near the rule's limit (a
-softer limit) is dropped too; elsewhere only the plain rule decides.
+A document fails a rule by its own counts. Failures of a softer limit are aggregated by host (the
+`source` column), and each host's failure rate of each rule is shrunk towards the mean rate of the
+other hosts by a beta prior fitted to all hosts by moments. Every host counts once in the mean, so no
+host's share of rows decides a verdict. A host's verdict is how strictly each rule is applied to its
+documents: at the plain limit where its shrunk rate is no higher than that of the others, at the
+softer one where it is HOST_FACTOR times as high or more, and at a limit between them in proportion
+for rates between. Host verdicts go back to the documents by a join.
 
 Rules: too few words, repeated 3-word windows, symbols, duplicate lines. Each has a plain and a
 softer limit (RULES; MIN_WORDS and SOFT_MIN_WORDS for the words, of which a document fails below).
@@ -30,8 +31,8 @@ RULES = {
     "dup_lines": ("r_dup", 0.60, 0.40),
 }
 MIN_WORDS, SOFT_MIN_WORDS = 50, 60
-#: A host is marked if its shrunk rate exceeds this multiple of the corpus rate and this floor.
-HOST_FACTOR, HOST_FLOOR = 3.0, 0.30
+#: Multiple of the other hosts' rate at which a host's documents meet the softer limits.
+HOST_FACTOR = 2.0
 
 
 def _strip(text: Column, chars: str) -> Column:
@@ -107,11 +108,11 @@ def word_counts(df: DataFrame, key: str = "doc_id", text: str = "text", host: st
 
 
 def host_rates(counts: DataFrame) -> DataFrame:
-    """Per host: documents, failures and shrunk rate of each rule, and its verdict.
+    """Per host: documents, the shrunk rate of each rule, and how strictly the rule is applied (0 to 1).
 
     The prior is fitted by moments over hosts: mean m and variance v of the rates give a strength
     s = m(1-m)/v - 1, held between 1 and 10,000; with o the mean rate of the other hosts, the shrunk
-    rate is (failures + s o) / (n + s). A host without others is not marked.
+    rate is (failures + s o) / (n + s). A host without others is judged by the plain limits.
     """
     rules = [*RULES, "words"]
     fails = counts.groupBy("host").agg(
@@ -127,14 +128,16 @@ def host_rates(counts: DataFrame) -> DataFrame:
         m = F.col(f"m_{r}")
         s = F.least(F.lit(1e4), F.greatest(F.lit(1.0), F.coalesce(F.try_divide(m * (1 - m), F.col(f"v_{r}")) - 1, F.lit(1e4))))
         own = F.col(f"f_{r}") / F.col("n")
-        other = F.coalesce(F.greatest(F.lit(0.0), F.try_divide(m * F.col("n_hosts") - own, F.col("n_hosts") - 1)), own)
+        other = F.when(F.col("n_hosts") > 1, F.greatest(F.lit(0.0), F.try_divide(m * F.col("n_hosts") - own, F.col("n_hosts") - 1))).otherwise(own)
         out = out.withColumn(f"rate_{r}", (F.col(f"f_{r}") + s * other) / (F.col("n") + s))
-        out = out.withColumn(f"bad_{r}", (F.col(f"rate_{r}") > HOST_FACTOR * other) & (F.col(f"rate_{r}") > HOST_FLOOR))
-    return out.select("host", "n", *[f"rate_{r}" for r in rules], *[f"bad_{r}" for r in rules])
+        over = F.try_divide(F.col(f"rate_{r}") - other, other * (HOST_FACTOR - 1))  # null where no other host fails
+        over = F.coalesce(over, F.when(F.col(f"rate_{r}") > other, 1.0).otherwise(0.0))
+        out = out.withColumn(f"strict_{r}", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), over)), 9))
+    return out.select("host", "n", *[f"rate_{r}" for r in rules], *[f"strict_{r}" for r in rules])
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row per document: its counts, base_failed, host verdict and kept.
+    """One row per document: its counts, base_failed, host_failed (by its host's limits alone) and kept.
 
     The counts are made once and stored (numbers only, no texts); hosts are aggregated with
     partial sums, so a hot host costs one row a task; the join back to documents carries
@@ -155,10 +158,10 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "s
     both = counts.join(hosts.withColumnRenamed("host", "_host").drop("n"), F.col("host").eqNullSafe(F.col("_host")), "left")
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n)
     plain = F.lit(False)
-    by_host = F.col("bad_words") & F.col("soft_words")
-    for r, (v, hard, _) in RULES.items():
+    by_host = (n >= MIN_WORDS) & (n < F.round(MIN_WORDS + (SOFT_MIN_WORDS - MIN_WORDS) * F.col("strict_words"), 6))
+    for r, (v, hard, soft) in RULES.items():
         plain = plain | (F.col(v) > hard)
-        by_host = by_host | (F.col(f"bad_{r}") & F.col(f"soft_{r}"))
+        by_host = by_host | ((F.col(v) <= hard) & (F.col(v) > F.round(hard - (hard - soft) * F.col(f"strict_{r}"), 9)))
     return both.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"),

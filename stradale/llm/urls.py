@@ -7,12 +7,15 @@ path depth, digit and letter ratios, entropies, parameter counts, and smoothed b
 host's suffixes.
 
 Labelled URLs come from a table with a label column (a bounded sample of distinct URLs). Where a
-table has none, the trees learn from the labelled examples that `examples` makes from short lists of
-topics and patterns; rules are policy for their hosts and do not serve as labels for others.
+table has no labels of its own, the rules label its URLs, so that the trees carry the policy over to
+URLs that no rule names: a URL that a rule fits has the rule's verdict, and one on a host that rules
+block by path only is allowed outside those paths. Features describe shape, not names: the host
+enters by counts, ratios and the smoothed block rates of its last one and last two labels, the path
+by the rate of its first segment below the host's last label.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path, fits no rule and is
 judged by the trees on its empty features; without labelled URLs, or with one class only, the trees
-are a constant.
+are a constant; a URL that is labelled both ways counts as blocked; repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, stored
 
 # --- fixed values: the production rules, (host, path start, verdict) -------------------------------
 RULES = [
@@ -37,26 +40,16 @@ RULES = [
 ]
 # ---------------------------------------------------------------------------------------------------
 
-#: Words of labelled examples. Both lists take part in every pattern of their class.
-BLOCKED_TOPICS = ("pill-store", "slots-jackpot", "bet-bonus", "ad-tracker", "mail-blast", "xxx-live", "loan-fast", "win-prize", "hot-deals", "cam-girls", "poker-room", "replica-watch", "seo-links", "click-cash", "crypto-double")
-BLOCKED_PATTERNS = (
-    "http://{t}.{s}/", "http://www.{t}.{s}/en/{n}", "https://{t}{n}.{s}/buy?aff={n}&src=mail&cid={n}", "http://m.{t}.{s}/offer/{n}.html?utm_source=x&click={n}",
-    "http://{t}.{s}/{n}/{n}/go.php?id={n}", "https://blog.{t}.{s}/de/{n}#top",
-)
-ALLOWED_TOPICS = ("library", "museum", "harbour", "gardening", "weather", "history", "journal", "orchestra", "cycling", "kitchen", "physics", "village", "theatre", "railway", "astronomy")
-ALLOWED_PATTERNS = (
-    "https://{t}.{s}/", "https://www.{t}.{s}/en/{n}", "http://blog.{t}.{s}/fr/{n}/", "https://m.{t}.{s}/es/{n}.html?utm_source=feed",
-    "http://{t}.{s}/de/{n}?page=2&ref=x", "https://news.{t}.{s}/archive/{n}/report.html#top",
-)
-SUFFIXES = ("com", "net", "org", "example.com", "example.net", "example.org", "info", "co.uk")
-
+#: Bound of the sample that the trees are fitted on: distinct labelled URLs, chosen by a hash.
 SAMPLE_URLS = 20_000
 FOLDS = 5
+#: A URL that no rule fits is blocked from this probability on: where labels say little, it is allowed.
+BLOCK_AT = 0.8
 _LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 FEATURES = (
     "length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "host_digit_ratio", "hyphens",
     "host_hyphens", "entropy", "host_entropy", "parameters", "longest_label", "longest_segment", "vowel_ratio",
-    "punctuation", "https", "fragment", "extension", "rate_tld", "rate_domain", "rate_label",
+    "punctuation", "https", "fragment", "extension", "rate_tld", "rate_domain", "rate_segment",
 )
 
 
@@ -88,10 +81,19 @@ def ratio(s: str, chars: str) -> float:
     return sum(c in chars for c in s) / len(s) if s else 0.0
 
 
-def suffixes(host: str) -> tuple[str, str, str]:
-    """Top-level label, last two labels, and the label before those."""
+def suffixes(host: str, path: str) -> tuple[str, str, str]:
+    """The host's last label, its last two labels, and the path's first segment below the last label."""
     x = host.split(".")
-    return x[-1], ".".join(x[-2:]), x[-3] if len(x) > 2 else ""
+    return x[-1], ".".join(x[-2:]), x[-1] + "/" + path[1:].split("/", 1)[0]
+
+
+def label_of(host: str, path: str, rules=RULES) -> bool | None:
+    """Whether the rules have a URL blocked (true) or allowed; null where they say nothing."""
+    r = rule_of(host, path, rules)
+    if r:
+        return r[1] == "block"
+    by_path = any(v == "block" and p != "/" and (host == h or host.endswith("." + h)) for h, p, v in rules)
+    return False if by_path else None
 
 
 class Model:
@@ -111,7 +113,7 @@ class Model:
             url.count("-"), host.count("-"), entropy(url), entropy(host), len([q for q in query.split("&") if q]),
             max(map(len, labels)), max(map(len, segs), default=0), ratio(letters, "aeiou"), sum(not c.isalnum() for c in url),
             url[:6].lower() == "https:", "#" in url, "." in (segs[-1] if segs else ""),
-            *(self.rates[i].get(s, self.prior) for i, s in enumerate(suffixes(host))),
+            *(self.rates[i].get(s, self.prior) for i, s in enumerate(suffixes(host, path))),
         ]
 
     def scores(self, urls: list[str | None]) -> np.ndarray:
@@ -171,7 +173,7 @@ def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 4,
     empty = Model(prior, [{}, {}, {}], [np.zeros(0)] * len(FEATURES), [], start)
     if len(y) == 0 or y.min() == y.max():
         return empty
-    parts = [suffixes(split_url(u)[0]) for u in urls]
+    parts = [suffixes(*split_url(u)) for u in urls]
     rates, own, fold = [], [], np.arange(len(y)) % FOLDS
     for i in range(3):
         names = np.array([p[i] for p in parts])
@@ -183,7 +185,8 @@ def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 4,
         parts_of = [table(fold != f) for f in range(FOLDS)]
         own.append([parts_of[f].get(k, prior) for f, k in zip(fold, names)])
     x = np.array([empty.features(u) for u in urls], float)
-    x[:, -3:] = np.array(own).T
+    # one fold is learned without rates, so that trees know what to make of names that no label has
+    x[:, -3:] = np.where((fold == 0)[:, None], prior, np.array(own).T)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(x.shape[1])]
     b = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
     z, out = np.full(len(y), start), []
@@ -195,25 +198,26 @@ def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 4,
     return Model(prior, rates, cuts, out, start)
 
 
-def examples() -> tuple[list[str], list[bool]]:
-    """Labelled URLs from the lists above."""
-    urls, bad = [], []
-    for topics, patterns, label in ((BLOCKED_TOPICS, BLOCKED_PATTERNS, True), (ALLOWED_TOPICS, ALLOWED_PATTERNS, False)):
-        for i, t in enumerate(topics):
-            for j, p in enumerate(patterns):
-                for k, s in enumerate(SUFFIXES):
-                    urls.append(p.format(t=t, s=s, n=7 * (i + 1) * (j + 3) * (k + 2) % 997))
-                    bad.append(label)
-    return urls, bad
+def ruled(df: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
+    """(url, bad) of the distinct URLs that the rules label."""
+
+    def make():
+        from stradale.llm.urls import label_of, split_url
+
+        return lambda urls: [(label_of(*split_url(u), rules),) for u in urls]
+
+    known = df.select(F.col(url).alias("url")).where("url is not null").distinct().withColumn("_text", F.col("url"))
+    return map_texts(known, ["url"], "_text", make, "bad boolean").where("bad is not null")
 
 
 def fit(df: DataFrame, label: str, url: str = "url", sample_urls: int = SAMPLE_URLS) -> Model:
     """Train on about `sample_urls` distinct URLs of a table with a boolean label (true: block)."""
     known = df.select(F.col(url).alias("url"), F.col(label).cast("boolean").alias("bad"))
     known = known.where("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("bad"))
+    known = stored(df.sparkSession, known, "labelled-urls")
     n = known.count()
     u = F.pmod(F.xxhash64(F.lit(41), "url"), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(u < min(1.0, sample_urls / max(n, 1))).orderBy("url").toPandas()
+    rows = known.where(u < min(1.0, sample_urls / max(n, 1))).toPandas().sort_values("url")
     return train(rows.url.tolist(), rows.bad.tolist())
 
 
@@ -225,7 +229,7 @@ def judge(df: DataFrame, model: Model, key: str = "page_id", url: str = "url", r
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        from stradale.llm.urls import rule_of, split_url
+        from stradale.llm.urls import BLOCK_AT, rule_of, split_url
 
         m = sent.value
 
@@ -234,7 +238,7 @@ def judge(df: DataFrame, model: Model, key: str = "page_id", url: str = "url", r
             for u, p in zip(urls, m.scores(urls)):
                 host, path = split_url(u)
                 r = rule_of(host, path, rules)
-                out.append((host, path, r[0] if r else None, r[1] if r else ("block" if p >= 0.5 else "allow"), float(p)))
+                out.append((host, path, r[0] if r else None, r[1] if r else ("block" if p >= BLOCK_AT else "allow"), float(p)))
             return out
 
         return work
