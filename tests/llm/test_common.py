@@ -29,10 +29,33 @@ class Bare:
 def test_the_shared_folder_is_the_sessions(spark):
     assert common.shared_dir(Bare(spark, "file:///far/away/")) == "file:///far/away"
     own = Bare(spark)
+    own.master = "local[2]"
     first = common.shared_dir(own)
     assert first.startswith("file://") and common.shared_dir(own) == first
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    import pytest
+
+    far = Bare(spark)
+    far.master = "spark://far:7077"
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(far)
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    seen = []
+
+    def make():
+        seen.append(common.stored(spark, spark.range(5), "way"))
+        return common.kept(spark, lambda: seen[0].where("id > 1"), "inner")
+
+    got = common.kept(spark, make, "end")
+    assert got.count() == 3
+    left = spark._jvm.org.apache.hadoop.fs.Path(seen[0].inputFiles()[0])
+    assert not left.getFileSystem(spark._jsc.hadoopConfiguration()).exists(left)
+
+
 def test_stored_tables_go_there(spark):
     got = common.stored(spark, spark.range(5), "numbers")
     assert got.count() == 5 and common.shared_dir(spark).removeprefix("file:").lstrip("/") in got.inputFiles()[0]

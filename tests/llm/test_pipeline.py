@@ -42,5 +42,19 @@ def test_odd_documents(spark):
         assert empty_out.count() == 0
 
 
+def test_rows_without_keys_and_repeated_keys(spark):
+    a, b = "the and of it is a document of many words " * 3, "quite another text that has nothing to do with it " * 3
+    docs = spark.createDataFrame([(1, a), (1, a), (3, a), (None, a), (None, b), (5, b), (7, "x"), (None, None)], "doc_id long, text string")
+    got = P.dedup_stage(spark, docs, SF).collect()
+    assert sorted(str(r["text"]) for r in got) == sorted(str(t) for t in (a, b, "x", None))
+    ids = spark.createDataFrame([(3, a), (2, a), (9, b)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in P.dedup_stage(spark, ids, SF).collect()) == [2, 9]
+
+
+def test_without_labels_no_language_is_rejected(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert P.language_stage(spark, docs, SF).count() == 2
+
+
 def test_pipeline_has_the_dealt_stages():
     assert [n for n, _ in P.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "pieces"] and P.ORACLE_SQL is None
