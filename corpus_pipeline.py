@@ -17,9 +17,15 @@ MAX_BITS = 8.0
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language: not `und`, and coded in fewer bits than raw bytes."""
+    """Documents of a known language: not `und`, and coded in fewer bits than raw bytes.
+
+    Without any labelled text no language is known, so nothing can be rejected and all documents stay.
+    """
     ship(spark)
-    sent = spark.sparkContext.broadcast(language.fit(docs))
+    model = language.fit(docs)
+    if not model.langs:
+        return docs
+    sent = spark.sparkContext.broadcast(model)
 
     def make():
         predict = sent.value.predict
@@ -29,9 +35,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (five-word shingles, similarity 0.8 or more)."""
-    dropped = stored(spark, dedup.classes(docs).where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class of near-duplicates (five-word shingles, similarity 0.8 or more): the smallest doc_id.
+
+    Where doc_ids are null or repeat, rows have numbers of their own (they are stored with them first),
+    and the row with the smallest number stays: rows of one doc_id with different texts are different documents.
+    """
+    key, rows = "doc_id", docs
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1 or doc_id is null").limit(1).count():
+        key = "_row"
+        while key in docs.columns:
+            key += "_"
+        rows = stored(spark, docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    dropped = stored(spark, dedup.classes(rows, key=key).where("not kept").select(key), "dropped")
+    return rows.join(dropped, key, "left_anti").select(*docs.columns)
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
