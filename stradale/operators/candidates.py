@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.scalars import ratio
 from . import spatial
-from .graph import endpoint_pairs, endpoints, packed, unpack
+from .graph import by_graph, endpoint_pairs, endpoints, packed, unpack
 
 
 def endpoint_candidates(nodes: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
@@ -46,15 +46,14 @@ def endpoint_candidates(nodes: DataFrame, edges: DataFrame, radius: float) -> Da
 def proposal_distance(cands: DataFrame, edges: DataFrame, lengths: DataFrame) -> DataFrame:
     """Route length that the proposal already offers between a candidate's ends; infinite without one.
 
-    lengths: (graph_id, a, b, length), a < b. For a point on an edge, the shorter way round by its ends.
+    lengths: (graph_id, a, b, length) from every candidate's node_a (`graph.lengths_from`). For a point
+    on an edge, the shorter way round by its ends.
     """
     e = edges.select("graph_id", "edge", "u", "v", F.col("length").alias("_total"))
     c = cands.join(e, ["graph_id", "edge"], "left")
-    both = lengths.select("graph_id", F.col("a").alias("_s"), F.col("b").alias("_t"), F.col("length").alias("_d"))
-    both = both.unionByName(both.select("graph_id", F.col("_t").alias("_s"), F.col("_s").alias("_t"), "_d"))
 
     def to(df: DataFrame, target: str, name: str) -> DataFrame:
-        d = both.select("graph_id", F.col("_s").alias("node_a"), F.col("_t").alias(target), F.col("_d").alias(name))
+        d = lengths.select("graph_id", F.col("a").alias("node_a"), F.col("b").alias(target), F.col("length").alias(name))
         got = df.join(d, ["graph_id", "node_a", target], "left")
         return got.withColumn(name, F.when(F.col(target) == F.col("node_a"), 0.0).otherwise(F.coalesce(name, F.lit(math.inf))))
 
@@ -71,15 +70,24 @@ def truth_distances(truth: tuple[DataFrame, DataFrame], cands: DataFrame, snaps:
 
     def run(key: tuple, g_rows: pd.DataFrame, c_rows: pd.DataFrame) -> pd.DataFrame:
         g, out = unpack(g_rows), []
-        for r in c_rows.itertuples():
-            for snap in snaps:
-                both, (a, b) = g.inject(np.array([[r.ax, r.ay], [r.bx, r.by]], float), snap)
-                d = None if a is None or b is None else both.distances(a)[0].get(b, math.inf)
-                out.append((key[0], r.cand, snap, d))
+        ends = c_rows[["ax", "ay", "bx", "by"]].to_numpy(float).reshape(-1, 2)  # a and b of each candidate
+        for snap in snaps:
+            # all points at once: where a point lands does not depend on the others, nor does a route's length
+            both, landed = g.inject(ends, snap)
+            near = both.adjacency()
+            from_a: dict[int, dict[int, float]] = {}
+            for k, cand in enumerate(c_rows.cand):
+                a, b = landed[2 * k], landed[2 * k + 1]
+                d = None
+                if a is not None and b is not None:
+                    if a not in from_a:
+                        from_a[a] = both.distances(a, near)[0]
+                    d = from_a[a].get(b, math.inf)
+                out.append((key[0], cand, snap, d))
         return pd.DataFrame(out, columns=["graph_id", "cand", "snap", "truth_dist"])
 
     c = cands.select("graph_id", "cand", "ax", "ay", "bx", "by")
-    return packed(*truth).groupBy("graph_id").cogroup(c.groupBy("graph_id")).applyInPandas(run, "graph_id string, cand long, snap double, truth_dist double")
+    return by_graph(packed(*truth)).cogroup(by_graph(c)).applyInPandas(run, "graph_id string, cand long, snap double, truth_dist double")
 
 
 def label(rows: DataFrame, tau: float = 1.5, eps: float = 0.2) -> DataFrame:
@@ -127,7 +135,7 @@ def add_connectors(nodes: DataFrame, edges: DataFrame, rows: DataFrame, toleranc
         return G.repack(key[0], g, [(key[0], "c", added, None, None, [], [])])
 
     c = rows.select("graph_id", "cand", "node_a", "node_b", "bx", "by")
-    made = packed(nodes, edges).groupBy("graph_id").cogroup(c.groupBy("graph_id")).applyInPandas(run, G.PACKED)
+    made = by_graph(packed(nodes, edges)).cogroup(by_graph(c)).applyInPandas(run, G.PACKED)
     n, e = G.split_packed(made)
     return n, e, made.where("part = 'c'").select("graph_id", F.col("id").alias("added"))
 

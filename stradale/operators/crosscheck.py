@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geom
 from ..functions.scalars import ratio
 from . import raster
+from .graph import by_graph
 
 
 def agreement(distances: DataFrame, by: list[str], tolerances: list[float]) -> DataFrame:
@@ -50,10 +52,21 @@ def endpoint_summary(counts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def infer(tiles: DataFrame, predict, schema: str = "chip string, row int, col int, logit double") -> DataFrame:
-    """The model seam: `predict(pixels of one chip) -> logits` as a grouped Arrow map. Models come from outside."""
+def infer(tiles: DataFrame, predict, bands: list[str], factor: int = 1, schema: str = "chip string, row int, col int, logit double") -> DataFrame:
+    """The model seam: a whole tile at a time, mirrored up to multiples of `factor`, and the result cropped back.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return predict(rows)
+    tiles: chip, row, col and the bands, a row for every pixel of a tile. predict((height, width, bands) array)
+    gives (height, width) logits. Models come from outside: a checkpoint is whatever `predict` closes over.
+    """
+    from ..functions.fields import reflect_padded
 
-    return tiles.groupBy("chip").applyInPandas(run, schema)
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(rows.row.max()) + 1, int(rows.col.max()) + 1
+        x = np.zeros((h, w, len(bands)))
+        x[rows.row, rows.col] = rows[bands].to_numpy(float)
+        padded, _ = reflect_padded(x, factor)
+        z = np.asarray(predict(padded), float)[:h, :w]
+        i, j = np.indices((h, w))
+        return pd.DataFrame({"chip": key[0], "row": i.ravel(), "col": j.ravel(), "logit": z.ravel()})
+
+    return by_graph(tiles.select("chip", "row", "col", *bands), "chip").applyInPandas(run, schema)

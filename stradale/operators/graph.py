@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom, kernels
+from ..store import stored
 from . import spatial
 
 
@@ -91,14 +92,22 @@ def rows_of(p: np.ndarray) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in p]
 
 
+#: Attribute of the two tables of a kernel: the table that they were taken from.
+MADE = "_made_by"
 PACKED = "graph_id string, part string, id long, u long, v long, px array<double>, py array<double>"
 
 
 def packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One table for both relations, so that a rewrite reads and writes a single grouped map.
 
-    Lines travel as two number arrays, which Arrow hands to numpy without a Python object a point.
+    Lines travel as two number arrays, which Arrow hands to numpy without a Python object a point. Nodes
+    and edges that one kernel made, as they are, are taken from its own table: as a union of both they
+    would run the kernel, and all before it, twice.
     """
+    made = getattr(nodes, MADE, None)
+    if made is not None and made is getattr(edges, MADE, None):
+        made = made.where("part in ('n', 'e')")
+        return made.select(*[F.col(c).alias(c) for c in made.columns])
     null = F.lit(None).cast("long")
     e = edges.select("graph_id", F.lit("e").alias("part"), F.col("edge").alias("id"), "u", "v", F.transform("pts", lambda p: p["x"]).alias("px"), F.transform("pts", lambda p: p["y"]).alias("py"))
     n = nodes.select("graph_id", F.lit("n").alias("part"), F.col("node").alias("id"), null.alias("u"), null.alias("v"), F.array("x").alias("px"), F.array("y").alias("py"))
@@ -126,7 +135,21 @@ def split_packed(made: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a packed table."""
     n = made.where("part = 'n'").select("graph_id", F.col("id").alias("node"), F.get("px", F.lit(0)).alias("x"), F.get("py", F.lit(0)).alias("y"))
     e = made.where("part = 'e'").select("graph_id", F.col("id").alias("edge"), "u", "v", F.zip_with("px", "py", geom.point).alias("pts"))
-    return n, e.withColumn("length", geom.polyline_length(F.col("pts")))
+    e = e.withColumn("length", geom.polyline_length(F.col("pts")))
+    for df in (n, e):
+        setattr(df, MADE, made)
+    return n, e
+
+
+def by_graph(df: DataFrame, key: str = "graph_id"):
+    """df grouped for a kernel, dealt out by the session's number of partitions.
+
+    Kernels take time by the graph, not by the byte: left to itself, adaptive execution merges small
+    exchanges by bytes into one task, which then holds all graphs. A partition count that is asked for stays.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key).groupBy(key)
 
 
 def rewrite(nodes: DataFrame, edges: DataFrame, how) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +158,12 @@ def rewrite(nodes: DataFrame, edges: DataFrame, how) -> tuple[DataFrame, DataFra
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return repack(key[0], how(unpack(rows)))
 
-    return split_packed(packed(nodes, edges).groupBy("graph_id").applyInPandas(run, PACKED))
+    return split_packed(by_graph(packed(nodes, edges)).applyInPandas(run, PACKED))
+
+
+def settled(net: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """A network as a stored table, for those that several jobs read."""
+    return split_packed(stored(net[0].sparkSession, packed(*net), "network"))
 
 
 def simplify(nodes: DataFrame, edges: DataFrame, tolerance: float = 2.0):
@@ -166,7 +194,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         c = unpack(rows).components()
         return pd.DataFrame({"graph_id": key[0], "node": list(c), "component": list(c.values())})
 
-    return packed(nodes, edges).groupBy("graph_id").applyInPandas(run, "graph_id string, node long, component long")
+    return by_graph(packed(nodes, edges)).applyInPandas(run, "graph_id string, node long, component long")
 
 
 def class_components(lines: DataFrame, tolerance: float = 1e-3) -> DataFrame:
@@ -185,12 +213,24 @@ def path_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest path lengths between all node pairs a < b that a route joins."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        g = unpack(rows)
+        ids, d = unpack(rows).all_distances()
+        i, j = np.nonzero(np.triu(np.isfinite(d), 1))
+        return pd.DataFrame({"graph_id": key[0], "a": ids[i], "b": ids[j], "length": d[i, j]})
+
+    return by_graph(packed(nodes, edges)).applyInPandas(run, "graph_id string, a long, b long, length double")
+
+
+def lengths_from(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Shortest path lengths from given nodes (graph_id, node) to all nodes that a route joins: graph_id, a, b, length."""
+
+    def run(key: tuple, g_rows: pd.DataFrame, s_rows: pd.DataFrame) -> pd.DataFrame:
+        g, out = unpack(g_rows), []
         near = g.adjacency()
-        out = [(key[0], a, b, d) for a in g.nodes for b, d in g.distances(a, near)[0].items() if a < b]
+        for a in sorted({int(n) for n in s_rows.node} & set(near)):
+            out += [(key[0], a, b, d) for b, d in g.distances(a, near)[0].items()]
         return pd.DataFrame(out, columns=["graph_id", "a", "b", "length"])
 
-    return packed(nodes, edges).groupBy("graph_id").applyInPandas(run, "graph_id string, a long, b long, length double")
+    return by_graph(packed(nodes, edges)).cogroup(by_graph(sources.select("graph_id", "node"))).applyInPandas(run, "graph_id string, a long, b long, length double")
 
 
 def node_lines(lines: DataFrame, least: float = 1e-6) -> DataFrame:
@@ -202,7 +242,7 @@ def node_lines(lines: DataFrame, least: float = 1e-6) -> DataFrame:
         src = rows.line.tolist()
         return pd.DataFrame([(key[0], i, src[s], rows_of(p)) for i, (p, s) in enumerate(got)], columns=["graph_id", "line", "source", "pts"])
 
-    return lines.select("graph_id", "line", "pts").groupBy("graph_id").applyInPandas(run, "graph_id string, line long, source long, pts array<struct<x:double,y:double>>")
+    return by_graph(lines.select("graph_id", "line", "pts")).applyInPandas(run, "graph_id string, line long, source long, pts array<struct<x:double,y:double>>")
 
 
 def clip(lines: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
@@ -216,6 +256,20 @@ def clip(lines: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     return lines.select("graph_id", "line", "pts").mapInPandas(run, "graph_id string, line long, part int, pts array<struct<x:double,y:double>>")
 
 
+def drawn_and_traced(edges: DataFrame, grids: DataFrame, half_width: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of drawing edges (graph_id, pts) on grids (chip, height, width) and tracing them, in one kernel.
+
+    The same as `trace` after `raster.draw_edges`, without a row a pixel between the two.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lines = [points(p) for p in rows.pts if p is not None]
+        return repack(key[0], kernels.trace(kernels.draw(lines, int(rows.height.iloc[0]), int(rows.width.iloc[0]), half_width)))
+
+    both = grids.select(F.col("chip").alias("graph_id"), "height", "width").join(edges.select("graph_id", "pts"), "graph_id", "left")
+    return split_packed(by_graph(both).applyInPandas(run, PACKED))
+
+
 def trace(masks: DataFrame, grids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) traced from pixel masks (chip, row, col) on grids (chip, height, width)."""
 
@@ -226,4 +280,4 @@ def trace(masks: DataFrame, grids: DataFrame) -> tuple[DataFrame, DataFrame]:
         return repack(key[0], kernels.trace(m))
 
     both = grids.join(masks, "chip", "left").select(F.col("chip").alias("graph_id"), "height", "width", "row", "col")
-    return split_packed(both.groupBy("graph_id").applyInPandas(run, PACKED))
+    return split_packed(by_graph(both).applyInPandas(run, PACKED))

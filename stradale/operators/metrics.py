@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels, scalars
-from .graph import junctions, packed, points, unpack
+from .graph import by_graph, junctions, packed, points, unpack
 
 SIDES = (("forward", "t", "p"), ("backward", "p", "t"))
 
@@ -35,39 +35,41 @@ def route_pairs(
     of a direction without pairs.
     """
 
-    def directed(a: kernels.Graph, b: kernels.Graph) -> tuple[list, int, int]:
+    def directed(a: kernels.Graph, b: kernels.Graph) -> tuple[dict, int, int]:
         dense = a.densify(spacing, sampling)
         control = list(dense.nodes)
         if max_control is not None and len(control) > max_control:
             rng = np.random.default_rng(seed)
             control = [control[i] for i in rng.choice(len(control), max_control, False)]
         if not control:
-            return [], 0, 0
+            return {}, 0, 0
         other, landed = b.inject(np.array([dense.nodes[n] for n in control], float), max_snap)
-        near_a, near_b = dense.adjacency(), other.adjacency()
-        from_b = {n: other.distances(n, near_b)[0] for n in {x for x in landed if x is not None}}
-        out = []
-        for i, n in enumerate(control):
-            la = dense.distances(n, near_a)[0]
-            for j in range(i + 1, len(control)):
-                d = la.get(control[j])
-                if d is None:
-                    continue
-                both = landed[i] is not None and landed[j] is not None
-                out.append((i, j, d, from_b[landed[i]].get(landed[j], math.inf) if both else None, both))
-        return out, len(control), sum(x is not None for x in landed)
+        la = dense.distances_among(control)
+        i, j = np.nonzero(np.triu(np.isfinite(la), 1))
+        on = np.array([x is not None for x in landed])
+        spots = sorted({x for x in landed if x is not None})
+        place = {x: k for k, x in enumerate(spots)}
+        at = np.array([place.get(x, -1) for x in landed])
+        both = on[i] & on[j]
+        lb = np.full(len(i), np.nan)
+        if both.any():
+            lb[both] = other.distances_among(spots)[at[i[both]], at[j[both]]]
+        return {"i": i, "j": j, "la": la[i, j], "lb": lb, "landed": both}, len(control), int(on.sum())
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         g = {r: unpack(rows[rows.role == r]) for r in ("t", "p")}
-        out = []
+        parts = []
         for name, a, b in SIDES:
             pairs, n, landed = directed(g[a], g[b])
-            out += [(key[0], name, *p, n, landed) for p in pairs] or [(key[0], name, None, None, None, None, None, n, landed)]
-        got = pd.DataFrame(out, columns=["graph_id", "direction", "i", "j", "la", "lb", "landed", "n_control", "n_landed"])
-        return got.astype({"i": "Int64", "j": "Int64", "landed": "boolean"})
+            if not len(pairs.get("i", ())):
+                pairs = {"i": [None], "j": [None], "la": [None], "lb": [None], "landed": [None]}
+            got = pd.DataFrame(pairs).astype({"i": "Int64", "j": "Int64", "la": "Float64", "lb": "Float64", "landed": "boolean"})
+            got["lb"] = got.lb.mask(~got.landed.fillna(False))  # null, not NaN, where an end does not land
+            parts.append(got.assign(graph_id=key[0], direction=name, n_control=n, n_landed=landed))
+        return pd.concat(parts)[["graph_id", "direction", "i", "j", "la", "lb", "landed", "n_control", "n_landed"]]
 
     schema = "graph_id string, direction string, i long, j long, la double, lb double, landed boolean, n_control long, n_landed long"
-    return roles(truth, proposal).groupBy("graph_id").applyInPandas(run, schema)
+    return by_graph(roles(truth, proposal)).applyInPandas(run, schema)
 
 
 def score_pairs(pairs: DataFrame, min_length: float = 10.0) -> DataFrame:
@@ -115,7 +117,7 @@ def routes(nodes: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
                     out.append((key[0], int(a), int(b), d[int(b)], path[::-1]))
         return pd.DataFrame(out, columns=["graph_id", "a", "b", "length", "route"])
 
-    return packed(nodes, edges).groupBy("graph_id").cogroup(ends.groupBy("graph_id")).applyInPandas(run, "graph_id string, a long, b long, length double, route array<long>")
+    return by_graph(packed(nodes, edges)).cogroup(by_graph(ends)).applyInPandas(run, "graph_id string, a long, b long, length double, route array<long>")
 
 
 def buffer_prf(truth: DataFrame, proposal: DataFrame, buffer: float = 10.0) -> DataFrame:
@@ -130,7 +132,7 @@ def buffer_prf(truth: DataFrame, proposal: DataFrame, buffer: float = 10.0) -> D
         lt, lp = sum(map(kernels.length, t)), sum(map(kernels.length, p))
         return pd.DataFrame([(key[0], lt, lp, kernels.covered_length(t, p, buffer), kernels.covered_length(p, t, buffer))], columns=["graph_id", "truth", "proposal", "truth_hit", "proposal_hit"])
 
-    got = one.groupBy("graph_id").applyInPandas(run, "graph_id string, truth double, proposal double, truth_hit double, proposal_hit double")
+    got = by_graph(one).applyInPandas(run, "graph_id string, truth double, proposal double, truth_hit double, proposal_hit double")
     return _prf(got, F.col("proposal_hit"), F.col("proposal"), F.col("truth_hit"), F.col("truth"))
 
 
@@ -150,7 +152,7 @@ def match_junctions(truth: DataFrame, proposal: DataFrame, radius: float = 10.0)
         out = [(key[0], int(t.node.iloc[i]), int(p.node.iloc[j]), d, int(t.degree.iloc[i]), int(p.degree.iloc[j])) for i, j, d in got]
         return pd.DataFrame(out, columns=["graph_id", "truth_node", "node", "distance", "truth_degree", "degree"])
 
-    return one.groupBy("graph_id").applyInPandas(run, "graph_id string, truth_node long, node long, distance double, truth_degree long, degree long")
+    return by_graph(one).applyInPandas(run, "graph_id string, truth_node long, node long, distance double, truth_degree long, degree long")
 
 
 def junction_prf(truth: tuple[DataFrame, DataFrame], proposal: tuple[DataFrame, DataFrame], radius: float = 10.0, min_degree: int = 3) -> DataFrame:
@@ -200,8 +202,6 @@ def iou(a: DataFrame, b: DataFrame, chips: DataFrame | None = None) -> DataFrame
 
 def round_trip(truth: tuple[DataFrame, DataFrame], grids: DataFrame, half_width: int = 2) -> DataFrame:
     """Draw the truth, trace it back, clean it and score it: the ceiling of tracing."""
-    from .graph import clean, trace
-    from .raster import draw_edges
+    from .graph import clean, drawn_and_traced
 
-    mask = draw_edges(truth[1], grids, half_width)
-    return apls(truth, clean(*trace(mask, grids)))
+    return apls(truth, clean(*drawn_and_traced(truth[1], grids, half_width)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from .graph import points
+from .graph import by_graph, points
 
 KEYS = ["chip", "row", "col"]
 
@@ -66,7 +66,7 @@ def draw_edges(edges: DataFrame, grids: DataFrame, half_width: int = 2) -> DataF
         return pd.DataFrame({"chip": key[0], "row": r.astype(np.int32), "col": c.astype(np.int32)})
 
     both = grids.join(edges.select(F.col("graph_id").alias("chip"), "pts"), "chip", "left")
-    return both.groupBy("chip").applyInPandas(run, "chip string, row int, col int")
+    return by_graph(both, "chip").applyInPandas(run, "chip string, row int, col int")
 
 
 def dihedral_pixels(mask: DataFrame, n: int, index: int) -> DataFrame:
@@ -115,13 +115,15 @@ def distance_within(samples: DataFrame, mask: DataFrame, reach: int, by: list[st
     return samples.select(*by).distinct().join(hit, by, "left")
 
 
-def soft_losses(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """Dice and skeleton Dice losses of dense maps (chip, row, col, p, y), one chip a group."""
+def soft_losses(pairs: DataFrame, rounds: int = 10, dice: float = 0.5, cldice: float = 0.0) -> DataFrame:
+    """Dice, skeleton Dice and the combined loss of dense maps (chip, row, col, p, y), one chip a group."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         h, w = int(rows.row.max()) + 1, int(rows.col.max()) + 1
         p, y = np.zeros((h, w)), np.zeros((h, w))
         p[rows.row, rows.col], y[rows.row, rows.col] = rows.p, rows.y
-        return pd.DataFrame([(key[0], kernels.soft_dice_loss(p, y), kernels.soft_cldice_loss(p, y, rounds))], columns=["chip", "dice", "cldice"])
+        q = np.clip(p, 1e-12, 1 - 1e-12)
+        total = kernels.segmentation_loss(np.log(q / (1 - q)), y, dice, cldice, rounds)
+        return pd.DataFrame([(key[0], kernels.soft_dice_loss(p, y), kernels.soft_cldice_loss(p, y, rounds), total)], columns=["chip", "dice", "cldice", "loss"])
 
-    return pairs.groupBy("chip").applyInPandas(run, "chip string, dice double, cldice double")
+    return by_graph(pairs, "chip").applyInPandas(run, "chip string, dice double, cldice double, loss double")
