@@ -161,13 +161,19 @@ def digest(ids: Column) -> Column:
     return F.sha2(F.array_join(ids, "\n"), 256)
 
 
-def strips(row: Column, col: Column, angle: float, phase: float, period: float, fraction: float) -> Column:
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) that is a hash of its parts: a draw that any engine with MD5 can repeat."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def strips(row: Column, col: Column, angle, phase, period, fraction) -> Column:
     """Whether a pixel lies in parallel bands of a coverage pattern."""
-    at = col * math.cos(angle) + row * math.sin(angle) + phase
-    return F.pmod(at, F.lit(float(period))) < fraction * period
+    a, p, t, f = (v if isinstance(v, Column) else F.lit(float(v)) for v in (angle, phase, period, fraction))
+    return F.pmod(col * F.cos(a) + row * F.sin(a) + p, t) < f * t
 
 
-def block_of(row: Column, col: Column, height: int, width: int, n_rows: int, n_cols: int) -> Column:
+def block_of(row: Column, col: Column, height, width, n_rows, n_cols) -> Column:
     """The coverage block of a pixel; blocks share the remainder evenly."""
     r = F.floor(row * n_rows / height).cast("int")
     c = F.floor(col * n_cols / width).cast("int")
@@ -180,6 +186,12 @@ def observed(value: Column, valid: Column, covered: Column, scale: float, fill:
     return F.struct(F.when(seen, value / scale).otherwise(F.lit(fill)).alias("data"), seen.cast("double").alias("indicator"))
 
 
+def aux_stack(bands: dict[str, tuple[Column, float, float]], valid: Column, covered: Column) -> Column:
+    """Auxiliary channels as one array: the bands (column, scale, fill) in order, then the indicator of what was observed."""
+    seen = valid & covered
+    return F.array(*[F.when(seen, v / s).otherwise(F.lit(float(fill))).cast("double") for v, s, fill in bands.values()], seen.cast("double"))
+
+
 def mask_unobserved(data: Column, indicator: Column) -> Column:
     return data * indicator
 

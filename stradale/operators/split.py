@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..store import stored
 from . import spatial
 
 SIDES = ("train", "val", "dropped")
@@ -88,18 +90,23 @@ def adjacency(assigned: DataFrame, touch_m: float) -> DataFrame:
     """How near held-out samples lie to training samples: min, median, p10, share touching.
 
     The exact nearest distance needs no radius: cells double in size until every held-out sample has
-    met a training sample. Each pass is a grid join.
+    met a training sample. Each pass is a grid join of the samples that are left, stored as it is made.
     """
-    train = assigned.where("side = 'train'").select("sample_id", "x", "y")
-    left = assigned.where("side = 'val'").select("sample_id", "x", "y")
+    spark = assigned.sparkSession
+    sides = stored(spark, assigned.select("sample_id", "x", "y", "side"), "sides")
+    train = sides.where("side = 'train'").drop("side")
+    left = sides.where("side = 'val'").drop("side")
     reach, parts = float(touch_m), []
-    for _ in range(30):
-        near = spatial.nearest_within(left, train, reach, [], "sample_id")
+    # beyond the width of everything no further sample can be met
+    box = sides.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    most = 2 * math.hypot(*(v or 0.0 for v in box)) + reach
+    while reach <= 2 * most:
+        near = stored(spark, spatial.nearest_within(left, train, reach, [], "sample_id"), "near")
         parts.append(near)
-        left = left.join(near.select("sample_id"), "sample_id", "left_anti")
+        left = stored(spark, left.join(near.select("sample_id"), "sample_id", "left_anti"), "left")
         if not left.limit(1).count():
             break
-        reach *= 4
+        reach *= 2
     d = parts[0]
     for p in parts[1:]:
         d = d.unionByName(p)

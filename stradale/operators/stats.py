@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..functions.scalars import ratio
+from .ranks import ranked
 
 
 def summarize(scores: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -106,8 +108,8 @@ def with_total(df: DataFrame, by: list[str], split: str, *aggs: Column) -> DataF
 def pareto_front(df: DataFrame, key: list[str], objectives: list[str], by: list[str] | None = None) -> DataFrame:
     """Rows that no other row beats: at least as good in all objectives (larger is better) and not equal.
 
-    With two objectives the test is a running maximum (one sort per group); with more, an anti-join
-    within the group, for grids of configurations.
+    With two objectives the test is a running maximum (one sort per group); with more, rows that are
+    beaten within their Arrow batch leave first, and the rest is compared by an anti-join in the group.
     """
     by = by or []
     if len(objectives) == 2:
@@ -120,7 +122,8 @@ def pareto_front(df: DataFrame, key: list[str], objectives: list[str], by: list[
         first = Window.partitionBy(*by, b)
         seen = seen.withColumn("_a_of_b", F.max(a).over(first))
         return seen.where((F.col(b) >= F.col("_ahead")) & (F.col(b) == F.col("_same")) & (F.col(a) == F.col("_a_of_b"))).drop("_ahead", "_same", "_a_of_b")
-    o = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(objectives)]).distinct()
+    front = local_front(df, objectives, by)  # no row that its own task already beats takes part below
+    o = front.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(objectives)]).distinct()
     cond = F.lit(True)
     for i, c in enumerate(by):
         cond = cond & F.col(c).eqNullSafe(F.col(f"_g{i}"))
@@ -128,7 +131,32 @@ def pareto_front(df: DataFrame, key: list[str], objectives: list[str], by: list[
     for i, c in enumerate(objectives):
         beats = beats & (F.col(f"_o{i}") >= F.col(c))
         differs = differs | (F.col(f"_o{i}") > F.col(c))
-    return df.join(o, cond & beats & differs, "left_anti")
+    return front.join(o, cond & beats & differs, "left_anti")
+
+
+def local_front(df: DataFrame, objectives: list[str], by: list[str]) -> DataFrame:
+    """Rows that no other row of their batch and group beats; a front keeps all of its rows. Null objectives are never beaten."""
+
+    def run(batches):
+        import numpy as np
+
+        for rows in batches:
+            keep = np.ones(len(rows), bool)
+            groups = rows.groupby(by, dropna=False).indices.values() if by else [np.arange(len(rows))]
+            for at in groups:
+                x = rows[objectives].iloc[at].to_numpy(float)
+                known = ~np.isnan(x).any(1)
+                at, x = at[known], x[known]
+                order = np.argsort(-x.sum(1), kind="stable")  # a row is beaten only by rows of a larger sum
+                best = np.zeros((0, x.shape[1]))
+                for i in order:
+                    if ((best >= x[i]).all(1) & (best > x[i]).any(1)).any():
+                        keep[at[i]] = False
+                    else:
+                        best = np.vstack([best, x[i]])
+            yield rows[keep]
+
+    return df.mapInPandas(run, df.schema)
 
 
 def axis_profile(df: DataFrame, axis: str, pinned: dict[str, float], value: str) -> DataFrame:
@@ -187,20 +215,12 @@ def bootstrap_sem(conf: DataFrame, weights: DataFrame, unit: str = "chip") -> Da
     return macro_f1(w, ["boot"]).agg(F.avg("macro_f1").alias("mean"), F.stddev_samp("macro_f1").alias("sem"))
 
 
-def multinomial_weights(spark, units: list, draws: int, seed: int) -> DataFrame:
-    """(boot, unit, w): multinomial resampling weights drawn with a fixed seed."""
-    import numpy as np
-
-    w = np.random.default_rng(seed).multinomial(len(units), [1 / len(units)] * len(units), size=draws)
-    return spark.createDataFrame([(b, u, int(k)) for b, row in enumerate(w) for u, k in zip(units, row) if k], ["boot", "chip", "w"])
-
-
 def simulate(nodes: DataFrame, unit: str, classes: list[str], accuracy: float, seed: int, draws: int = 1) -> DataFrame:
     """Predictions that are right for whole units with the given probability, else another class by its share.
 
-    Random numbers are hashes of (seed, draw, unit), so results do not depend on partitioning.
+    Random numbers are hashes of (seed, salt, draw, unit), so results do not depend on partitioning.
     """
-    u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("draw"), F.col(unit).cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    u = lambda salt: scalars.uniform(F.lit(seed), F.lit(salt), F.col("draw"), F.col(unit))
     n = nodes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_ok", u(1) < accuracy)
     share = nodes.groupBy(F.col("klass").alias("other")).agg(F.count(F.lit(1)).alias("k"))
     order = F.array(*[F.lit(c) for c in classes])
@@ -247,8 +267,13 @@ def class_weights(nodes: DataFrame, classes: list[str]) -> DataFrame:
     return every.join(c, "klass", "left").join(F.broadcast(n)).select("klass", F.coalesce(ratio(F.col("n"), F.col("k") * len(classes)), F.lit(0.0)).alias("weight"))
 
 
-def standardize(df: DataFrame, features: str, train: Column, size: int) -> DataFrame:
-    """Feature arrays standardized by the training rows only; deviations up to 1e-6 count as 1."""
+def standardize(df: DataFrame, features: str, train: Column, size: int | None = None) -> DataFrame:
+    """Feature arrays standardized by the training rows only; deviations up to 1e-6 count as 1.
+
+    size: features a row has, by default the most that any row has.
+    """
+    if size is None:
+        size = df.agg(F.max(F.size(features))).first()[0] or 0
     at = lambda i: F.get(features, F.lit(i)).cast("double")
     m = df.agg(
         F.array(*[F.avg(F.when(train, at(i))) for i in range(size)]).alias("_mean"),
@@ -287,9 +312,8 @@ def tag_lengths(truth: DataFrame, other: DataFrame, tag: str = "highway", length
 def spread_picks(df: DataFrame, order: str, k: int) -> DataFrame:
     """k rows at ranks round(i (n - 1) / (k - 1)): a gallery spread evenly over the order."""
     n = df.count()
-    ranks = sorted({round(i * (n - 1) / max(k - 1, 1)) for i in range(k)}) if n else []
-    w = Window.orderBy(order)
-    return df.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank").isin(ranks))
+    picks = sorted({round(i * (n - 1) / max(k - 1, 1)) for i in range(k)}) if n else []
+    return ranked(df, order).where(F.col("rank").isin(picks))
 
 
 def banded(df: DataFrame, value: str, bands: list[tuple[float, float]], k: int, order: str) -> DataFrame:

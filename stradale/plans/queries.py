@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 from ..functions import geom, scalars
 from ..operators import candidates as C
+from ..operators import coverage as K
 from ..operators import crosscheck as X
+from ..operators import evaluate as E
 from ..operators import graph as G
+from ..operators import labelled as L
 from ..operators import metrics as M
 from ..operators import raster as R
 from ..operators import spatial as S
 from ..operators import split as P
 from ..operators import stats as T
 from ..ship import ship
+from ..store import stored
 from ..sources import ways as W
 from . import views as V
 
@@ -251,15 +255,36 @@ def buffer_prf(spark, sf):
 # --- candidates ---------------------------------------------------------------------------------------
 
 
-@query()
+_CENSUS = (
+    _PATHS
+    + _DEG.replace("--with", ",")
+    + """, pr AS (SELECT a.graph_id, a.node AS a, b.node AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS gap FROM d a JOIN d b ON a.graph_id = b.graph_id AND a.node < b.node AND a.degree = 1 AND b.degree = 1 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 150 * 150 AND NOT EXISTS (SELECT 1 FROM thin_edges e WHERE e.graph_id = a.graph_id AND e.u = a.node AND e.v = b.node)),
+ seg AS (SELECT graph_id, edge, u, v, u % 4 * 100.0::DOUBLE AS ax, (u // 4) * 100.0::DOUBLE AS ay, v % 4 * 100.0::DOUBLE AS bx, (v // 4) * 100.0::DOUBLE AS b_y FROM thin_edges),
+ foot AS (SELECT a.graph_id, a.node, a.x, a.y, s.edge, s.u, s.v, ax, ay, bx, b_y, greatest(0, least(1, ((a.x - ax) * (bx - ax) + (a.y - ay) * (b_y - ay)) / 10000.0)) AS t FROM d a JOIN seg s ON s.graph_id = a.graph_id WHERE a.degree = 1 AND s.u <> a.node AND s.v <> a.node),
+ side AS (SELECT graph_id, node, edge, u, v, t * 100 AS arc, ax + t * (bx - ax) AS fx, ay + t * (b_y - ay) AS fy, sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (b_y - ay)) ** 2) AS gap FROM foot),
+ ca AS (SELECT graph_id, 'edge' AS kind, node AS node_a, gap, NULL::BIGINT AS node_b, edge, u, v, arc, CAST(round(fx / 100) + 4 * round(fy / 100) AS BIGINT) AS target FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, node ORDER BY gap, edge) AS r FROM side WHERE gap <= 150) WHERE r = 1
+  UNION ALL SELECT graph_id, 'endpoint', a, gap, b, NULL, NULL, NULL, NULL, b FROM pr),
+ nu AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY kind, node_a, coalesce(node_b, edge)) - 1 AS cand FROM ca),
+ fu AS (SELECT nu.*, t.l AS truth_dist, CASE WHEN kind = 'endpoint' THEN coalesce(p.l, CAST('inf' AS DOUBLE)) ELSE least(coalesce(pu.l, CAST('inf' AS DOUBLE)) + arc, coalesce(pv.l, CAST('inf' AS DOUBLE)) + greatest(100 - arc, 0)) END AS proposal_dist FROM nu
+  JOIN len t ON t.g = 't' AND t.graph_id = nu.graph_id AND t.a = node_a AND t.b = target
+  LEFT JOIN len p ON p.g = 'p' AND p.graph_id = nu.graph_id AND p.a = node_a AND p.b = node_b
+  LEFT JOIN len pu ON pu.g = 'p' AND pu.graph_id = nu.graph_id AND pu.a = node_a AND pu.b = nu.u
+  LEFT JOIN len pv ON pv.g = 'p' AND pv.graph_id = nu.graph_id AND pv.a = node_a AND pv.b = nu.v),
+ cen AS (SELECT fu.*, s.snap, CASE WHEN truth_dist <= 1.5 * gap AND proposal_dist > 1.2 * truth_dist THEN 'positive' ELSE 'negative' END AS label FROM fu, (VALUES (5.0::DOUBLE), (30.0)) s(snap)) """
+)
+
+
+@query(_CENSUS + "SELECT graph_id, cand, kind, node_a, round(gap, 6) AS gap, snap, round(proposal_dist, 6) AS proposal_dist, round(truth_dist, 6) AS truth_dist, label FROM cen", "grid_edges", "thin_edges", "grid_nodes", recursive=True)
 def endpoint_census(spark, sf):
-    return _labelled(spark, sf).select("graph_id", "cand", "kind", "node_a", "gap", "snap", "proposal_dist", "truth_dist", "label")
+    x = _labelled(spark, sf).select("graph_id", "cand", "kind", "node_a", "gap", "snap", "proposal_dist", "truth_dist", "label")
+    return rd(x, "gap", "proposal_dist", "truth_dist")
 
 
 def _labelled(spark, sf, snaps=(5.0, 30.0)):
     t, p = truth(spark, sf), proposal(spark, sf)
     c = C.endpoint_candidates(*p, 150.0)
-    c = C.proposal_distance(c, p[1], G.path_lengths(*p))
+    c = stored(spark, c, "candidates")
+    c = C.proposal_distance(c, p[1], G.lengths_from(*p, c.select("graph_id", F.col("node_a").alias("node"))))
     d = C.truth_distances(t, c, list(snaps))
     return C.label(c.join(d, ["graph_id", "cand"]))
 
@@ -298,11 +323,32 @@ def radius_census(spark, sf):
     return C.radius_census(_ends(spark, sf), T.grid(spark, radius=[105.0, 150.0]))
 
 
-@query()
+_RATIO = ", r AS (SELECT snap, CASE WHEN truth_dist > 0 AND proposal_dist < CAST('inf' AS DOUBLE) THEN proposal_dist / truth_dist END AS r FROM cen) "
+
+
+@query(_CENSUS + _RATIO + "SELECT snap, round(quantile_cont(r, 0.5), 6) AS p50, round(quantile_cont(r, 0.9), 6) AS p90, round(avg(CASE WHEN r IS NOT NULL THEN CAST(r < 1.5 AS DOUBLE) END), 6) AS under_1_5, count(*) FILTER (r IS NULL) AS undefined FROM r GROUP BY snap", "grid_edges", "thin_edges", "grid_nodes", recursive=True)
 def shortcut_ratios(spark, sf):
     return rd(C.shortcut_ratios(_labelled(spark, sf), ["snap"]), "p50", "p90", "under_1_5")
 
 
+@query(
+    _CENSUS
+    + ", n AS (SELECT graph_id, count(*) AS n FROM d WHERE degree = 1 GROUP BY 1), k AS (SELECT radius, snap, graph_id, count(DISTINCT node_a) AS c, count(DISTINCT CASE WHEN label = 'positive' THEN node_a END) AS p FROM cen JOIN (VALUES (105.0::DOUBLE), (150.0)) r(radius) ON gap <= radius GROUP BY ALL),"
+    " e AS (SELECT radius, snap, n.graph_id, n.n, coalesce(c, 0) AS c, coalesce(p, 0) AS p FROM n CROSS JOIN (VALUES (105.0::DOUBLE), (150.0)) r(radius) CROSS JOIN (VALUES (5.0::DOUBLE), (30.0)) s(snap) LEFT JOIN k USING (radius, snap, graph_id))"
+    " SELECT radius, snap, count(*) AS n_chips, CAST(sum(n) AS BIGINT) AS interior, CAST(sum(c) AS BIGINT) AS with_candidate, CAST(sum(p) AS BIGINT) AS with_positive, round(avg(p), 6) AS positive_mean, median(p) AS positive_median, round(sum(c) / sum(n), 9) AS candidate_share, round(sum(p) / sum(n), 9) AS positive_share FROM e GROUP BY ALL",
+    "grid_edges", "thin_edges", "grid_nodes", recursive=True,
+)
+def endpoint_reach(spark, sf):
+    x = E.endpoint_coverage(_labelled(spark, sf), G.endpoints(*proposal(spark, sf)).select("graph_id", "node"), T.grid(spark, radius=[105.0, 150.0]))
+    return rd(rd(x, "positive_mean"), "candidate_share", "positive_share", places=9)
+
+
+@query(_CENSUS + "SELECT snap, count(*) AS n, count(truth_dist) AS determinable, count(*) FILTER (truth_dist = 0) AS zero_distance, count(*) FILTER (truth_dist > 0 AND truth_dist <= 1) AS coincident, 0::BIGINT AS chips_without_roads FROM cen WHERE gap <= 105 GROUP BY snap", "grid_edges", "thin_edges", "grid_nodes", recursive=True)
+def label_diagnostics(spark, sf):
+    t = truth(spark, sf)
+    return E.label_diagnostics(_labelled(spark, sf), t, t[0], 105.0)
+
+
 @query("--with j AS (SELECT s.*, p.value AS o FROM scores s JOIN scores p ON p.chip = s.chip AND p.arm = 'view') SELECT arm, tolerance, round(avg(CASE WHEN abs(value - o) <= tolerance THEN 1.0 ELSE 0.0 END), 9) AS share FROM j, (VALUES (2.0::DOUBLE), (5.0)) t(tolerance) GROUP BY ALL", "scores")
 def agreement_shares(spark, sf):
     s = V.scores(spark, sf)
@@ -377,10 +423,57 @@ def coverage_blocks(spark, sf):
     return V.mask(spark, sf).groupBy("chip").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(b % 2 == 0, 1).otherwise(0)).alias("covered"))
 
 
+def _grids(spark, sf, n=31):
+    return V.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("chip"), F.lit(n).alias("height"), F.lit(n).alias("width"))
+
+
+_US = "CAST('0x' || substr(md5('7|{0}|' || chip), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+_PATTERN = f"--with g AS (SELECT DISTINCT chip FROM mask), a AS (SELECT chip, {_US.format('end')} AS u, {_US.format('inner')} AS v, {_US.format('angle')} * pi() AS angle, CAST(floor({_US.format('period')} * 33) AS INTEGER) + 16 AS period, {_US.format('phase')} AS ph FROM g), p AS (SELECT *, CASE WHEN u < 0.2 THEN 0.0 WHEN u < 0.4 THEN 1.0 ELSE 0.05 + v * 0.9 END AS share, ph * period AS phase FROM a) "
+
+
+@query(_PATTERN + "SELECT m.chip, round(any_value(share), 9) AS share, count(*) AS n, count(*) FILTER (((col * cos(angle) + row * sin(angle) + phase) % period + period) % period < share * period) AS covered FROM mask m JOIN p USING (chip) GROUP BY m.chip", "mask")
+def coverage_strips(spark, sf):
+    x = K.covered(V.mask(spark, sf), K.patterns(_grids(spark, sf), {"mode": "strips"}, 7).withColumn("_s", F.col("share")))
+    p = K.patterns(_grids(spark, sf), {"mode": "strips"}, 7).select("chip", F.round("share", 9).alias("share"))
+    return x.groupBy("chip").agg(F.count(F.lit(1)).alias("n"), F.count_if("covered").alias("covered")).join(p, "chip")
+
+
+@query("--with r AS (SELECT chip, row, col, row_number() OVER (PARTITION BY chip ORDER BY CAST('0x' || substr(md5('3|gap|' || chip || '|' || row || '|' || col), 1, 13) AS BIGINT), row, col) AS r FROM mask), s AS (SELECT chip, row - 2 AS row0, col - 2 AS col0 FROM r WHERE r <= 4) SELECT m.chip, count(*) AS n FROM mask m WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.chip = m.chip AND m.row BETWEEN row0 AND row0 + 4 AND m.col BETWEEN col0 AND col0 + 4) GROUP BY m.chip", "mask")
+def drawn_gaps(spark, sf):
+    m = V.mask(spark, sf)
+    return R.punch_gaps(m, K.draw_gaps(m, 4, 3)).groupBy("chip").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scene(spark, sf):
+    """(truth, its drawn mask, grids) of 4 x 4 street grids in chips of 110 pixels."""
+    small = V.grid_nodes(spark, sf).withColumn("x", F.col("x") * 0.3 + 10).withColumn("y", F.col("y") * 0.3 + 10)
+    e = V.grid_edges(spark, sf).withColumn("pts", F.transform("pts", lambda p: geom.point(p["x"] * 0.3 + 10, p["y"] * 0.3 + 10))).withColumn("length", F.col("length") * 0.3)
+    grids = _grids(spark, sf, 110)
+    return (small, e), stored(spark, R.draw_edges(e, grids, 2), "scene"), grids
+
+
+_TIDY = (1.0, 8.0, 4.0)
+
+
+@query()
+def tile_evaluation(spark, sf):
+    t, mask, grids = _scene(spark, sf)
+    hurt = R.punch_gaps(mask, K.draw_gaps(mask, 6, 1, 3))
+    x = E.evaluate_tiles(t, mask, stored(spark, hurt, "hurt"), grids, _TIDY)
+    return rd(x, "mask_iou", "apls_raw", "apls_cleaned", "ceiling", "of_ceiling")
+
+
+@query()
+def gap_divergence(spark, sf):
+    t, mask, grids = _scene(spark, sf)
+    x = E.divergence(t, mask, grids, [0, 4, 12], [0, 1], 3, _TIDY)
+    return rd(x.groupBy("gaps").agg(F.avg("iou").alias("iou"), F.avg("apls").alias("apls"), F.count(F.lit(1)).alias("n")), "iou", "apls")
+
+
 @query()
 def traced_graph(spark, sf):
     grids = V.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("chip"), F.lit(320).alias("height"), F.lit(320).alias("width"))
-    n, e = G.trace(R.draw_edges(V.grid_edges(spark, sf, drop=15), grids, 2), grids)
+    n, e = G.drawn_and_traced(V.grid_edges(spark, sf, drop=15), grids, 2)
     return rd(G.total_length(e), "length", places=3)
 
 
@@ -424,12 +517,49 @@ def bbox_prefilter(spark, sf):
     return W.in_box(w, (10.0, 1200.0, 30.0, 1e9)).agg(F.count(F.lit(1)).alias("n"))
 
 
+_KLASS = "CASE WHEN highway = 'motorway' THEN 'motorway' WHEN highway = 'primary_link' THEN 'primary' WHEN highway IN ('residential', 'living_street') THEN 'residential' WHEN highway = 'unclassified' THEN 'unclassified' ELSE 'other' END"
+_IN_TILE = ", t AS (SELECT graph_id, way, highway, least(x1, tx + 320) - greatest(x0, tx) AS dx, least(y1, ty + 320) - greatest(y0, ty) AS dy, greatest(x0, tx) AS ax, least(x1, tx + 320) AS bx, greatest(y0, ty) AS ay, least(y1, ty + 320) AS b_y, tx, ty FROM w JOIN world_tiles ON x1 >= tx AND x0 <= tx + 320 AND y1 >= ty AND y0 <= ty + 320)"
+_WORLD = ("world_ways", "world_tiles")
+
+
+@query(f"--with w AS (SELECT * FROM world_ways WHERE {_DRIVE}){_IN_TILE} SELECT graph_id, count(*) AS n, min(way) AS first_way FROM t GROUP BY 1", *_WORLD)
+def tile_ways(spark, sf):
+    x = W.tile_ways(V.world_ways(spark, sf), V.world_tiles(spark, sf), "drive")
+    return x.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("osm_id").cast("long")).alias("first_way"))
+
+
+@query(f"--with w AS (SELECT * FROM world_ways WHERE {_ALL}){_IN_TILE} SELECT graph_id, round(sum(dx + dy), 6) AS length, count(DISTINCT way) AS n_ways FROM t WHERE dx + dy > 1e-6 GROUP BY 1", *_WORLD)
+def tile_graph_lengths(spark, sf):
+    p = W.tile_pieces(V.world_ways(spark, sf), V.world_tiles(spark, sf), "all", pad=0.0)
+    n, e = G.build(p.select("graph_id", "line", "pts"), 1e-3)
+    ways = p.groupBy("graph_id").agg(F.countDistinct("osm_id").alias("n_ways"))
+    return rd(G.total_length(e).join(ways, "graph_id").select("graph_id", "length", "n_ways"), "length")
+
+
+def _pieces(spark, sf):
+    """Ways of one graph, whole."""
+    return V.world_ways(spark, sf).select(F.lit("g").alias("graph_id"), F.col("osm_id").cast("long").alias("line"), "osm_id", "highway", "pts")
+
+
+_SPOTS = f"--with p AS (SELECT way, {_KLASS} AS klass, x0, y0, x1, y1, 120.0::DOUBLE AS length, CAST(greatest(1, round_even(120 / 50.0, 0)) AS BIGINT) AS n FROM world_ways), s AS (SELECT way, klass, CAST(k AS INTEGER) AS k, x0 + (x1 - x0) * (k + 0.5) / n AS x, y0 + (y1 - y0) * (k + 0.5) / n AS y, length / n AS node_length FROM p, range(0, 2) t(k) WHERE k < n AND klass <> 'other') "
+
+
+@query(_SPOTS + "SELECT way, klass, k, round(x, 6) AS x, round(y, 6) AS y, round(node_length, 6) AS node_length FROM s", "world_ways")
+def labelled_nodes(spark, sf):
+    x = L.chip_nodes(_pieces(spark, sf), 50.0)
+    return rd(x.select(F.col("way").cast("long").alias("way"), "klass", "k", "x", "y", "node_length"), "x", "y", "node_length")
+
+
+@query(_SPOTS + f", c AS (SELECT klass, count(*) AS n_nodes, count(DISTINCT way) AS n_ways, sum(node_length) AS length FROM s GROUP BY 1), e AS (SELECT unnest({list(scalars.CLASSES)!r}) AS klass) SELECT klass, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_ways, 0) AS n_ways, round(coalesce(length, 0), 6) AS length, round(coalesce(n_nodes, 0) / (SELECT count(*) FROM s), 9) AS share FROM e LEFT JOIN c USING (klass) UNION ALL SELECT 'other', CAST(sum(n) AS BIGINT), 0, 0.0, round(sum(n) / (SELECT count(*) FROM s), 9) FROM p WHERE klass = 'other'", "world_ways")
+def labelled_classes(spark, sf):
+    p = _pieces(spark, sf)
+    x = L.class_table(L.chip_nodes(p, 50.0), L.other_counts(p, 50.0)).select("klass", "n_nodes", "n_ways", "length", "share")
+    return rd(rd(x, "length"), "share", places=9)
+
+
 @query("SELECT way, CAST(greatest(1, round_even(length / 100.0, 0)) AS BIGINT) AS n FROM ways", "ways")
 def chip_node_counts(spark, sf):
-    w = V.ways(spark, sf)
-    n = F.greatest(F.lit(1), F.rint(F.col("length") / 100.0).cast("long"))
-    x = w.select("way", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("i"))
-    return x.groupBy("way").agg(F.count(F.lit(1)).alias("n"))
+    return V.ways(spark, sf).select("way", L.span_count(F.col("length"), 100.0).alias("n"))
 
 
 # --- splits -------------------------------------------------------------------------------------------
@@ -557,9 +687,9 @@ def best_arm(spark, sf):
     return rd(T.best_of(V.scores(spark, sf), ["chip"], "arm", "value"), "value")
 
 
-@query("WITH h AS (SELECT l_suppkey AS run, l_orderkey AS epoch, avg(l_discount) AS v FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL), b AS (SELECT *, max(v) OVER (PARTITION BY run ORDER BY epoch) AS best, coalesce(v > max(v) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS isnew FROM h), s AS (SELECT *, epoch - max(CASE WHEN isnew THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS stale FROM b) SELECT run, epoch, round(best, 6) AS best, stale, max(CASE WHEN stale >= 200 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY epoch) = 1 AS stopped FROM s")
+@query("WITH h AS (SELECT l_suppkey AS run, l_orderkey AS epoch, avg(l_discount) AS v FROM lineitem GROUP BY ALL), b AS (SELECT *, max(v) OVER (PARTITION BY run ORDER BY epoch) AS best, coalesce(v > max(v) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS isnew FROM h), s AS (SELECT *, epoch - max(CASE WHEN isnew THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS stale FROM b) SELECT run, epoch, round(best, 6) AS best, stale, max(CASE WHEN stale >= 200 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY epoch) = 1 AS stopped FROM s")
 def best_epoch(spark, sf):
-    li = V.table(spark, sf, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_suppkey").alias("run"), F.col("l_orderkey").alias("epoch")).agg(F.avg("l_discount").alias("v"))
+    li = V.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("run"), F.col("l_orderkey").alias("epoch")).agg(F.avg("l_discount").alias("v"))
     return rd(T.early_stop(li, ["run"], "epoch", "v", 200).drop("v"), "best")
 
 
@@ -583,11 +713,28 @@ def bootstrap_sem(spark, sf):
     return rd(T.bootstrap_sem(T.confusion(V.predictions(spark, sf), ["chip"]), w), "mean", "sem", places=9)
 
 
-@query()
+_U = "CAST('0x' || substr(md5({0}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+_RESOLVE = f"""--with ways_of AS (SELECT DISTINCT way FROM way_nodes),
+ dr AS (SELECT way, draw, {_U.format("'0|1|' || draw || '|' || way")} AS u1, {_U.format("'0|2|' || draw || '|' || way")} AS u2 FROM ways_of, range(3) t(draw)),
+ sh AS (SELECT klass, count(*)::DOUBLE AS k FROM way_nodes GROUP BY 1),
+ cu AS (SELECT a.klass AS truth, b.klass AS other, sum(b.k) OVER (PARTITION BY a.klass ORDER BY b.klass) AS hi, sum(b.k) OVER (PARTITION BY a.klass) AS total FROM sh a JOIN sh b ON a.klass <> b.klass),
+ wk AS (SELECT way, klass, chip, count(*) AS n FROM way_nodes GROUP BY ALL),
+ pk AS (SELECT d.way, d.draw, k.klass AS truth, CASE WHEN u1 < 0.7 THEN k.klass ELSE (SELECT min(other) FROM cu WHERE cu.truth = k.klass AND u2 * total < hi) END AS pred FROM dr d JOIN (SELECT DISTINCT way, klass FROM wk) k USING (way)),
+ cf AS (SELECT draw, chip, truth, pred, sum(n) AS n FROM wk JOIN pk ON pk.way = wk.way AND pk.truth = wk.klass GROUP BY ALL),
+ ch AS (SELECT chip, row_number() OVER (ORDER BY chip) - 1 AS i FROM (SELECT DISTINCT chip FROM way_nodes)),
+ wt AS (SELECT boot, i, count(*) AS w FROM (SELECT boot, CAST(floor({_U.format("'0|boot|' || boot || '|' || slot")} * (SELECT count(*) FROM ch)) AS BIGINT) AS i FROM range(20) b(boot), (SELECT i AS slot FROM ch)) GROUP BY ALL),
+ ag AS (SELECT draw, boot, truth, pred, sum(n * w) AS n FROM cf JOIN ch USING (chip) JOIN wt USING (i) GROUP BY ALL UNION ALL SELECT draw, -1, truth, pred, sum(n) FROM cf GROUP BY ALL),
+ kl AS (SELECT draw, boot, klass, sum(s) AS s, sum(p) AS p, sum(t) AS t FROM (SELECT draw, boot, truth AS klass, n AS s, 0 AS p, CASE WHEN truth = pred THEN n ELSE 0 END AS t FROM ag UNION ALL SELECT draw, boot, pred, 0, n, 0 FROM ag) GROUP BY ALL),
+ mf AS (SELECT draw, boot, avg(CASE WHEN s > 0 THEN 2.0::DOUBLE * t / (s + p) END) AS f FROM kl GROUP BY ALL),
+ se AS (SELECT draw, stddev_samp(f) AS sem FROM mf WHERE boot >= 0 GROUP BY draw) """
+
+
+@query(_RESOLVE + f"""SELECT (SELECT count(*) FROM way_nodes) AS n_nodes, (SELECT count(*) FROM ways_of) AS n_units, (SELECT min(n) FROM (SELECT count(*) AS n FROM way_nodes GROUP BY klass)) AS min_class_nodes, (SELECT min(n) FROM (SELECT count(DISTINCT way) AS n FROM way_nodes GROUP BY klass)) AS min_class_units,
+ round((SELECT avg(f) FROM mf WHERE boot = -1), 6) AS macro_f1, round((SELECT stddev_samp(f) FROM mf WHERE boot = -1), 6) AS macro_f1_spread, round(avg(sem), 6) AS macro_f1_sem, round(stddev_samp(sem), 6) AS sem_spread, round(avg(sem) * {scalars.detectable_difference(1.0, 0.5)!r}, 6) AS detectable_0_5 FROM se""", "way_nodes")
 def resolvability(spark, sf):
     classes = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    s = T.simulate(V.way_nodes(spark, sf, every=True), "way", classes, 0.7, 0, draws=3)
-    return rd(T.macro_f1(T.confusion(s, ["draw"]), ["draw"]), "macro_f1", "accuracy")
+    x = L.resolvability(V.way_nodes(spark, sf), "way", classes, 0.7, 0, draws=3, boots=20, rhos=(0.5,))
+    return rd(x, "macro_f1", "macro_f1_spread", "macro_f1_sem", "sem_spread", "detectable_0_5")
 
 
 @query("SELECT klass, count(*) AS nodes, count(DISTINCT way) AS ways, count(DISTINCT chip) AS chips FROM way_nodes GROUP BY klass", "way_nodes")
@@ -610,10 +757,10 @@ def class_weights(spark, sf):
     return rd(T.class_weights(V.way_nodes(spark, sf), ["1-URGENT", "2-HIGH", "5-LOW", "none"]), "weight", places=9)
 
 
-@query("WITH s AS (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) FILTER (vec_id % 5 <> 0) AS m, stddev_pop(CAST(embedding[i] AS DOUBLE)) FILTER (vec_id % 5 <> 0) AS d FROM embeddings, range(1, 9) t(i) GROUP BY i) SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round((CAST(embedding[i] AS DOUBLE) - m) / CASE WHEN d > 1e-6 THEN d ELSE 1 END, 6) AS z FROM embeddings JOIN s ON true")
+@query("WITH s AS (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) FILTER (vec_id % 5 <> 0) AS m, stddev_pop(CAST(embedding[i] AS DOUBLE)) FILTER (vec_id % 5 <> 0) AS d FROM embeddings, range(1, (SELECT max(len(embedding)) + 1 FROM embeddings)) t(i) GROUP BY i) SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round((CAST(embedding[i] AS DOUBLE) - m) / CASE WHEN d > 1e-6 THEN d ELSE 1 END, 6) AS z FROM embeddings JOIN s ON true")
 def feature_standardize(spark, sf):
-    e = V.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("f"))
-    z = T.standardize(e, "f", F.col("vec_id") % 5 != 0, 8)
+    e = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("f"))
+    z = T.standardize(e, "f", F.col("vec_id") % 5 != 0)
     return rd(z.select("vec_id", F.posexplode("f").alias("i", "z")), "z")
 
 

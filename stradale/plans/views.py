@@ -27,10 +27,10 @@ def placement(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def way_nodes(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    """Nodes of ways; lines 1 and 2 of an order as in SQL, or all lines if `every`."""
+def way_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of ways: the lines of an order."""
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    j = (li if every else li.where("l_linenumber <= 2")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(F.col("l_suppkey").cast("string").alias("chip"), F.col("l_orderkey").alias("way"), F.col("o_orderpriority").alias("klass"), F.col("l_quantity").cast("double").alias("node_length"))
 
 
@@ -103,12 +103,35 @@ def mask(spark: SparkSession, sf: str, gap: int = 11) -> DataFrame:
     return j.select("chip", "row", "col")
 
 
+def world_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """Straight ways in metres, level for even part keys and upright for odd ones, with their boxes."""
+    from ..sources.ways import with_boxes
+
+    k = F.col("p_partkey")
+    level = k % 2 == 0
+    x = F.when(level, k * 53 % 2700).otherwise(k * 97 % 3200 + 0.7).cast("double")
+    y = (k * 1.6 + 0.3).cast("double")
+    pts = F.array(geom.point(x, y), geom.point(F.when(level, x + 120).otherwise(x), F.when(level, y).otherwise(y + 120)))
+    w = ways(spark, sf).select("way", "highway", "other_tags")
+    p = table(spark, sf, "part").select(k.alias("way"), pts.alias("pts"))
+    return with_boxes(w.join(p, "way").select(F.col("way").cast("string").alias("osm_id"), "highway", "other_tags", "pts"))
+
+
+def world_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """320 m tiles, ten in a row: graph_id, tile."""
+    k = F.col("s_suppkey")
+    one = geom.tile(F.lit(32611), (k % 10) * 320, (F.floor(k / 10) + 1) * 320, F.lit(320), F.lit(320), F.lit(1.0))
+    return table(spark, sf, "supplier").select(k.cast("string").alias("graph_id"), one.alias("tile"))
+
+
 _UV = "CASE WHEN k < 12 THEN (k // 3) * 4 + k % 3 ELSE k - 12 END"
 
 SQL = {
     "placement": "SELECT CAST(s_suppkey AS VARCHAR) AS sample_id, CAST(s_suppkey AS INTEGER) AS pos, CAST((s_suppkey % 10) * 320 + 160 AS DOUBLE) AS x, CAST((s_suppkey // 10) * 320 - 160 AS DOUBLE) AS y FROM supplier",
-    "way_nodes": "SELECT CAST(l_suppkey AS VARCHAR) AS chip, l_orderkey AS way, o_orderpriority AS klass, CAST(l_quantity AS DOUBLE) AS node_length FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2",
+    "way_nodes": "SELECT CAST(l_suppkey AS VARCHAR) AS chip, l_orderkey AS way, o_orderpriority AS klass, CAST(l_quantity AS DOUBLE) AS node_length FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "ways": f"SELECT p_partkey AS way, list_extract({list(HIGHWAYS)!r}, CAST(p_partkey % {len(HIGHWAYS)} AS INTEGER) + 1) AS highway, CASE WHEN p_size % 7 < 6 THEN list_extract({list(TAGS)!r}, CAST(p_size % 7 AS INTEGER) + 1) END AS other_tags, p_retailprice AS length, p_size AS size FROM part",
+    "world_ways": "SELECT way, highway, other_tags, CASE WHEN way % 2 = 0 THEN way * 53 % 2700 ELSE way * 97 % 3200 + 0.7::DOUBLE END::DOUBLE AS x0, way * 1.6::DOUBLE + 0.3::DOUBLE AS y0, x0 + CASE WHEN way % 2 = 0 THEN 120 ELSE 0 END AS x1, y0 + CASE WHEN way % 2 = 0 THEN 0 ELSE 120 END AS y1 FROM ways",
+    "world_tiles": "SELECT CAST(s_suppkey AS VARCHAR) AS graph_id, s_suppkey % 10 * 320.0::DOUBLE AS tx, s_suppkey // 10 * 320.0::DOUBLE AS ty FROM supplier",
     "scores": "SELECT CAST(user_id AS VARCHAR) AS chip, event_type AS arm, avg(value) AS value, 'apls' AS metric FROM events GROUP BY user_id, event_type",
     "predictions": "SELECT vec_id % 20 AS chip, CAST(label AS BIGINT) AS truth, CAST(CASE WHEN vec_id % 10 < 7 THEN label ELSE (label + vec_id) % 10 END AS BIGINT) AS pred FROM embeddings",
     "grid_nodes": "SELECT CAST(s_suppkey AS VARCHAR) AS graph_id, n AS node, CAST(n % 4 * 100 AS DOUBLE) AS x, CAST(n // 4 * 100 AS DOUBLE) AS y FROM supplier, range(16) t(n)",
@@ -122,7 +145,7 @@ SQL = {
     "mask2": "SELECT CAST(s_suppkey AS VARCHAR) AS chip, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM supplier, range(31) a(r), range(31) b(c) WHERE (r % 10 = 0 OR c % 10 = 0) AND (r * 7 + c * 13 + s_suppkey) % 7 <> 0",
 }
 NEEDS = {
-    "thin_edges": ["grid_edges"], "bowed": ["grid_edges"], "points": ["grid_nodes"], "stub_nodes": ["grid_nodes"], "stub_edges": ["thin_edges"],
+    "world_ways": ["ways"], "thin_edges": ["grid_edges"], "bowed": ["grid_edges"], "points": ["grid_nodes"], "stub_nodes": ["grid_nodes"], "stub_edges": ["thin_edges"],
 }
 
 

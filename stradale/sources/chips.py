@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,23 +63,43 @@ def holdout(val: DataFrame, exclude: DataFrame, skip: int = 0, limit: int | None
     return x.join(exclude.select("sample_id"), "sample_id", "left_anti").orderBy("pos")
 
 
+def aoi_roots(spark: SparkSession, path: str, labels: str = "*.geojson") -> list[str]:
+    """Folders right below `path` that hold label files at any depth, in order; only the listing is read."""
+    found = list_files(spark, path, labels).select(F.regexp_extract("path", re.escape(path.rstrip("/").split(":")[-1]) + r"/([^/]+)/", 1).alias("root"))
+    return sorted(r[0] for r in found.where("root <> ''").distinct().collect())  # a handful of areas
+
+
 @register(TILES, "synthetic")
-def synthetic(spark: SparkSession, centers: list[tuple[float, float]], size: int = 64, seed: int = 0) -> DataFrame:
-    """Fabricated tiles (chip, row, col, value): streams are seeded by (seed, x, y), so each tile stands alone."""
+def synthetic(spark: SparkSession, centers: list[tuple[float, float]], size: int = 64, seed: int = 0, streets: int = 3, cover: float = 0.12) -> DataFrame:
+    """Fabricated tiles (chip, row, col, mask, red, green, blue, ndsm, intensity) of a street grid.
+
+    Streams are seeded by (seed, x, y), so each tile stands alone, whatever the others; one canopy hides roads
+    in the image and stands up in the heights.
+    """
     t = spark.createDataFrame([(f"{x:g}_{y:g}", float(x), float(y)) for x, y in centers], "chip string, x double, y double")
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
+        from stradale.functions import fields, kernels
+
         for rows in batches:
             for r in rows.itertuples():
-                ground, noise, _ = np.random.default_rng((seed, int(r.x) & 0xFFFFFFFF, int(r.y) & 0xFFFFFFFF)).spawn(3)
-                v = np.clip(0.4 + 0.2 * ground.standard_normal() + 0.05 * noise.standard_normal((size, size)), 0, 1)
-                i, j = np.indices(v.shape)
-                yield pd.DataFrame({"chip": r.chip, "row": i.ravel(), "col": j.ravel(), "value": v.ravel()})
-
-    return t.mapInPandas(run, "chip string, row int, col int, value double")
+                trees, light, ground = np.random.default_rng((seed, int(r.x) & 0xFFFFFFFF, int(r.y) & 0xFFFFFFFF)).spawn(3)
+                at = [size * (k + 0.5) / streets for k in range(streets)]
+                lines = [np.array(p, float) for a in at for p in (((a, 0), (a, size - 1)), ((0, a), (size - 1, a)))]
+                mask = kernels.draw(lines, size, size, 2)
+                green = fields.canopy(mask.shape, trees, cover)
+                rgb = fields.image(mask, light, occlusion=green)
+                z, back = fields.heights(mask, ground, green)
+                i, j = np.indices(mask.shape)
+                yield pd.DataFrame({
+                    "chip": r.chip, "row": i.ravel(), "col": j.ravel(), "mask": mask.ravel(), "red": rgb[..., 0].ravel(), "green": rgb[..., 1].ravel(), "blue": rgb[..., 2].ravel(),
+                    "ndsm": z.ravel(), "intensity": back.ravel(),
+                })
+
+    return t.mapInPandas(run, "chip string, row int, col int, mask boolean, red double, green double, blue double, ndsm double, intensity double")
 
 
 def crop_windows(mask: DataFrame, grids: DataFrame, size: int, n: int, least: float, seed: int, attempts: int = 20) -> DataFrame:

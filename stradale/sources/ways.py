@@ -6,10 +6,13 @@ as pushed filters; tags other than highway are one HSTORE-like text column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom, kernels, scalars
+from ..operators import graph
 from .registry import WAYS, register
 
 COLUMNS = ("osm_id", "highway", "other_tags", "pts", "minx", "miny", "maxx", "maxy")
@@ -49,15 +52,55 @@ def require_inside(box: tuple, extent: tuple) -> None:
         raise ValueError(f"{box} is not inside the extract's extent {extent}")
 
 
-def tile_ways(ways: DataFrame, tiles: DataFrame, name: str = "drive") -> DataFrame:
-    """Each tile's ways: graph_id, line, highway, pts in tile pixels, one scan for all tiles.
+def tile_ways(ways: DataFrame, tiles: DataFrame, name: str = "drive", pad: float = 0.0, cell: float = 1024.0) -> DataFrame:
+    """Each tile's ways: graph_id, line, osm_id, highway, pts in tile pixels; one scan for all tiles.
 
-    tiles: (graph_id, tile). Tiles are a bounded broadcast side only if Spark finds them small.
+    tiles: (graph_id, tile). A way meets the tiles whose box, padded, touches its own. Boxes are joined on the
+    grid cells that they cover, so that neither side is broadcast or met by all of the other. Lines are
+    numbered within their graph, by osm_id and first point.
     """
-    b = tiles.select("graph_id", "tile", geom.bounds_world(F.col("tile")).alias("b"))
-    j = network(ways, name).join(b, (F.col("maxx") >= F.col("b.minx")) & (F.col("minx") <= F.col("b.maxx")) & (F.col("maxy") >= F.col("b.miny")) & (F.col("miny") <= F.col("b.maxy")))
+    box = geom.bounds_world(F.col("tile"))
+    spans = lambda lo, hi: F.sequence(F.floor(lo / cell).cast("long"), F.floor(hi / cell).cast("long"))
+    t = tiles.select("graph_id", "tile", box.alias("b"))
+    t = t.select("graph_id", "tile", *[(F.col(f"b.{c}") + d).alias(f"t_{c}") for c, d in (("minx", -pad), ("miny", -pad), ("maxx", pad), ("maxy", pad))])
+    t = t.withColumn("_cx", F.explode(spans(F.col("t_minx"), F.col("t_maxx")))).withColumn("_cy", F.explode(spans(F.col("t_miny"), F.col("t_maxy"))))
+    w = network(ways, name).select("osm_id", "highway", "pts", "minx", "miny", "maxx", "maxy")
+    w = w.withColumn("_cx", F.explode(spans(F.col("minx"), F.col("maxx")))).withColumn("_cy", F.explode(spans(F.col("miny"), F.col("maxy"))))
+    j = w.join(t, ["_cx", "_cy"]).where((F.col("maxx") >= F.col("t_minx")) & (F.col("minx") <= F.col("t_maxx")) & (F.col("maxy") >= F.col("t_miny")) & (F.col("miny") <= F.col("t_maxy")))
+    # a pair meets in every cell that both cover: only the first one, by its lower left corner, counts
+    first = lambda c, lo: F.col(c) == F.floor(F.greatest(F.col(lo), F.col(f"t_{lo}")) / cell).cast("long")
+    j = j.where(first("_cx", "minx") & first("_cy", "miny"))
     px = F.transform("pts", lambda p: geom.world_to_px(p["x"], p["y"], F.col("tile")))
-    return j.select("graph_id", F.col("osm_id"), "highway", px.alias("pts"))
+    out = j.select("graph_id", "osm_id", "highway", px.alias("pts"), F.col("tile.width").alias("width"), F.col("tile.height").alias("height"))
+    line = F.row_number().over(Window.partitionBy("graph_id").orderBy("osm_id", "pts")) - 1
+    return out.withColumn("line", line.cast("long"))
+
+
+def tile_pieces(ways: DataFrame, tiles: DataFrame, name: str = "drive", extent: tuple | None = None, pad: float = 250.0) -> DataFrame:
+    """Each tile's ways noded at their crossings and cut at the tile's edge: graph_id, line, osm_id, highway, pts.
+
+    Ways are noded whole, as far as the pad reaches, and cut afterwards, so that a junction at the edge is
+    not lost. extent: what the ways were read over; tiles that reach beyond it raise.
+    """
+    if extent is not None:
+        require_inside(covering_bounds(tiles, pad), extent)
+    schema = "graph_id string, line long, osm_id string, highway string, pts array<struct<x:double,y:double>>"
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("line")
+        box = (0.0, 0.0, float(rows.width.iloc[0]), float(rows.height.iloc[0]))
+        lines = [graph.points(p) for p in rows.pts]
+        tag, osm = rows.highway.tolist(), rows.osm_id.tolist()
+        out = [(osm[src], tag[src], graph.rows_of(q)) for piece, src in kernels.node_lines(lines) for q in kernels.clip_line(piece, box)]
+        got = pd.DataFrame(out, columns=["osm_id", "highway", "pts"])
+        return got.assign(graph_id=key[0], line=np.arange(len(got)))[["graph_id", "line", "osm_id", "highway", "pts"]]
+
+    return graph.by_graph(tile_ways(ways, tiles, name, pad)).applyInPandas(run, schema)
+
+
+def tile_graphs(ways: DataFrame, tiles: DataFrame, name: str = "drive", extent: tuple | None = None, pad: float = 250.0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of each tile's road network in pixels: filter, node, cut, build."""
+    return graph.build(tile_pieces(ways, tiles, name, extent, pad).select("graph_id", "line", "pts"), 1e-3)
 
 
 def to_utm(ways: DataFrame, epsg: int) -> DataFrame:
@@ -65,8 +108,6 @@ def to_utm(ways: DataFrame, epsg: int) -> DataFrame:
     schema = ways.schema
 
     def run(batches):
-        import numpy as np
-
         for rows in batches:
             rows["pts"] = [[{"x": float(x), "y": float(y)} for x, y in kernels.utm(np.array([q["x"] for q in p]), np.array([q["y"] for q in p]), epsg)] for p in rows.pts]
             yield rows
@@ -90,8 +131,6 @@ def way_xml(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         import xml.etree.ElementTree as ET
 
-        import pandas as pd
-
         for rows in batches:
             out = []
             for raw in rows.content:
