@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,13 +71,20 @@ def paired_stat(deltas: DataFrame, by: list[str], confidence: bool = True) -> Da
     out = out.withColumn("t", F.when(ok, F.col("mean") / F.col("sem")))
     if not confidence:
         return out
-    sizes = [r[0] for r in out.select("n").distinct().collect() if r[0] > 1]  # group sizes, a handful
-    if not sizes:
-        return out.withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
-    q = F.element_at(F.create_map(*[F.lit(x) for n in sizes for x in (n, t_quantile(0.975, n - 1))]), F.col("n"))
+    q = _t_factor(F.col("n"))
     return out.withColumn("low", F.when(ok, F.col("mean") - q * F.col("sem"))).withColumn("high", F.when(ok, F.col("mean") + q * F.col("sem")))
 
 
+def _t_factor(n: Column) -> Column:
+    """The 97.5 % quantile of Student's t for groups of n; one value a distinct n and Arrow batch."""
+
+    @F.pandas_udf("double")
+    def factor(sizes: pd.Series) -> pd.Series:
+        return sizes.map({k: t_quantile(0.975, int(k) - 1) if k > 1 else None for k in sizes.unique()}).astype(float)
+
+    return factor(n)
+
+
 def gini(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Gini coefficient of values per group; 0 if empty or the sum is not positive."""
     w = Window.partitionBy(*by).orderBy(value)

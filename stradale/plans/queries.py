@@ -93,7 +93,7 @@ def densify_control_points(spark, sf):
     return rd(G.control_points(V.grid_edges(spark, sf, bowed=True), 50.0).select("graph_id", "edge", (F.col("k") + 1).cast("long").alias("k"), "s"), "s")
 
 
-@query("SELECT graph_id, 24 + 8 * 2 AS n_edges, 16 + 8 * 2 AS n_nodes, round(sum(length), 6) AS length FROM bowed GROUP BY graph_id", "bowed")
+@query("--with b AS (SELECT graph_id, length, CASE WHEN edge % 3 = 0 THEN sqrt(100.0 * 100.0 + 40.0 * 40.0) ELSE 100.0 END AS diagonal FROM bowed), k AS (SELECT graph_id, length, CASE WHEN abs(diagonal - length) / length < 0.012 OR length < 37.5 THEN 1 WHEN length <= 50 THEN 2 ELSE CAST(ceil(length / 50) AS BIGINT) END AS pieces FROM b) SELECT graph_id, CAST(sum(pieces) AS BIGINT) AS n_edges, CAST(16 + sum(pieces - 1) AS BIGINT) AS n_nodes, round(sum(length), 6) AS length FROM k GROUP BY graph_id", "bowed")
 def densify_graph(spark, sf):
     n, e = G.densify(V.grid_nodes(spark, sf), V.grid_edges(spark, sf, bowed=True), 50.0)
     a = rd(G.total_length(e), "length")
@@ -136,8 +136,8 @@ def endpoint_pairs_anti(spark, sf):
     return G.endpoint_pairs(*proposal(spark, sf), 150.0).select("graph_id", "a", "b")
 
 
-@query("""SELECT graph_id, count(*) AS n FROM (
- SELECT e.graph_id, e.edge AS e, f.k AS f FROM grid_edges e, range(3) f(k) WHERE e.h AND (e.u % 4) = f.k AND (e.u // 4) BETWEEN 0 AND 3) GROUP BY graph_id""", "grid_edges")
+@query("""--with s AS (SELECT graph_id, u % 4 * 100.0 AS ax, (u // 4) * 100.0 AS ay, v % 4 * 100.0 AS bx, (v // 4) * 100.0 AS b_y FROM grid_edges), l AS (SELECT 50 + 100.0 * k AS x, -20.0 AS y0, 320.0 AS y1 FROM range(3) t(k))
+ SELECT graph_id, count(*) AS n FROM s JOIN l ON ay = b_y AND least(ax, bx) < x AND x < greatest(ax, bx) AND y0 < ay AND ay < y1 GROUP BY graph_id""", "grid_edges")
 def nonplanar_crossings(spark, sf):
     # three long lines x = 50, 150, 250 cross every horizontal edge without sharing a node
     e = V.grid_edges(spark, sf)
@@ -217,14 +217,21 @@ def snap_loss_shares(spark, sf):
     return rd(x.select("direction", "s.*"), "unlanded", "no_path", "length_error", places=9)
 
 
-@query("SELECT snap, CASE WHEN snap < 12 THEN 0.0 ELSE 1.0 END::DOUBLE AS apls, count(*) AS n FROM supplier, (VALUES (5.0::DOUBLE), (12.0), (25.0)) t(snap) GROUP BY snap")
+_SHIFT = """WITH n AS (SELECT n AS node, n % 4 * 100.0::DOUBLE AS x, (n // 4) * 100.0::DOUBLE AS y FROM range(16) t(n)),
+ p AS (SELECT 'forward' AS direction, node, x, y, greatest(x, 12) AS put, abs(greatest(x, 12) - x) AS off, 12.0 AS c0 FROM n UNION ALL SELECT 'backward', node, x + 12, y, least(x + 12, 300), abs(least(x + 12, 300) - x - 12), 0.0 FROM n),
+ r AS (SELECT a.direction, abs(a.x - b.x) + abs(a.y - b.y) AS la, abs(a.y - b.y) + CASE WHEN a.y = b.y THEN abs(a.put - b.put) ELSE (SELECT min(abs(a.put - a.c0 - 100 * k) + abs(b.put - a.c0 - 100 * k)) FROM range(4) c(k)) END AS lb, greatest(a.off, b.off) AS off FROM p a JOIN p b ON a.direction = b.direction AND a.node < b.node),
+ s AS (SELECT snap, direction, avg(CASE WHEN off <= snap THEN 1 - least(1, abs(la - lb) / la) ELSE 0 END) AS score FROM r, (VALUES (5.0::DOUBLE), (12.0), (25.0)) t(snap) GROUP BY ALL),
+ h AS (SELECT snap, 2 * f.score * b.score / (f.score + b.score) AS apls FROM (SELECT * FROM s WHERE direction = 'forward') f JOIN (SELECT * FROM s WHERE direction = 'backward') b USING (snap)) """
+
+
+@query(_SHIFT + "SELECT snap, round(apls, 6) AS apls, (SELECT count(*) FROM supplier) AS n FROM h")
 def max_snap_sweep(spark, sf):
     t = truth(spark, sf)
     moved = V.grid_nodes(spark, sf).withColumn("x", F.col("x") + 12), V.grid_edges(spark, sf).withColumn("pts", geom.shifted(F.col("pts"), 12.0, 0.0))
-    # shifted along x, outer columns land on their own verticals only within 12
+    # shifted along x: nodes land on level edges, and those of the outer columns only if a point may move by 12
     out = None
     for snap in (5.0, 12.0, 25.0):
-        s = M.apls(t, moved, max_snap=snap).groupBy().agg(F.round(F.avg((F.col("apls") > 0.9).cast("double")), 6).alias("apls"), F.count(F.lit(1)).alias("n")).withColumn("snap", F.lit(snap))
+        s = M.apls(t, moved, max_snap=snap).groupBy().agg(F.round(F.avg("apls"), 6).alias("apls"), F.count(F.lit(1)).alias("n")).withColumn("snap", F.lit(snap))
         out = s if out is None else out.unionByName(s)
     return out.select("snap", "apls", "n")
 
