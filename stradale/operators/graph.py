@@ -187,6 +187,11 @@ def densify(nodes: DataFrame, edges: DataFrame, spacing: float, sampling: str =
     return rewrite(nodes, edges, lambda g: g.densify(spacing, sampling))
 
 
+def drop_small(nodes: DataFrame, edges: DataFrame, least: float = 80.0, known: int = 100):
+    """Without components of up to `known` nodes whose longest shortest route is below `least`."""
+    return rewrite(nodes, edges, lambda g: g.without_small(least, known))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """graph_id, node, component (its smallest node)."""
 

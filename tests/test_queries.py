@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stradale.plans.queries import ORACLE, QUERIES
+from stradale.plans import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
