@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stradale.llm import decontam, dedup, language, pieces, secrets
-from stradale.llm.common import rewrite_texts, ship, stored, table
+from stradale.llm.common import kept, rewrite_texts, ship, stored, table
 
 #: A text that its best language codes in more bits a byte than raw bytes take is of no known language.
 MAX_BITS = 8.0
@@ -85,8 +85,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again."""
+    """The stages over documents, each written to the shared folder and read again; a stage's own tables are deleted after it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = kept(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
