@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom, scalars
+from ..store import stored
 from . import stats
 from .graph import class_components
 from .ranks import ranked
@@ -83,7 +84,7 @@ def resolvability(nodes: DataFrame, unit: str, classes: list[str], accuracy: flo
     correlation, and how many nodes and units the rarest class has.
     """
     said = stats.simulate(nodes, unit, classes, accuracy, seed, draws)
-    conf = stats.confusion(said, ["draw", "chip"])
+    conf = stored(nodes.sparkSession, stats.confusion(said, ["draw", "chip"]), "confusions")  # chips x draws x class pairs
     point = stats.macro_f1(conf.groupBy("draw", "truth", "pred").agg(F.sum("n").alias("n")), ["draw"])
     weights = resample_weights(nodes, boots, seed)
     again = conf.join(weights, "chip").groupBy("draw", "boot", "truth", "pred").agg(F.sum(F.col("n") * F.col("w")).alias("n"))

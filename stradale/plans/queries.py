@@ -537,7 +537,7 @@ def tile_ways(spark, sf):
 
 @query(f"--with w AS (SELECT * FROM world_ways WHERE {_ALL}){_IN_TILE} SELECT graph_id, round(sum(dx + dy), 6) AS length, count(DISTINCT way) AS n_ways FROM t WHERE dx + dy > 1e-6 GROUP BY 1", *_WORLD)
 def tile_graph_lengths(spark, sf):
-    p = W.tile_pieces(V.world_ways(spark, sf), V.world_tiles(spark, sf), "all", pad=0.0)
+    p = stored(spark, W.tile_pieces(V.world_ways(spark, sf), V.world_tiles(spark, sf), "all", pad=0.0), "pieces")
     n, e = G.build(p.select("graph_id", "line", "pts"), 1e-3)
     ways = p.groupBy("graph_id").agg(F.countDistinct("osm_id").alias("n_ways"))
     return rd(G.total_length(e).join(ways, "graph_id").select("graph_id", "length", "n_ways"), "length")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom, kernels, scalars
 from ..operators import graph
+from ..store import stored
 from .registry import WAYS, register
 
 COLUMNS = ("osm_id", "highway", "other_tags", "pts", "minx", "miny", "maxx", "maxy")
@@ -100,7 +101,8 @@ def tile_pieces(ways: DataFrame, tiles: DataFrame, name: str = "drive", extent:
 
 def tile_graphs(ways: DataFrame, tiles: DataFrame, name: str = "drive", extent: tuple | None = None, pad: float = 250.0) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of each tile's road network in pixels: filter, node, cut, build."""
-    return graph.build(tile_pieces(ways, tiles, name, extent, pad).select("graph_id", "line", "pts"), 1e-3)
+    pieces = stored(ways.sparkSession, tile_pieces(ways, tiles, name, extent, pad).select("graph_id", "line", "pts"), "pieces")
+    return graph.build(pieces, 1e-3)
 
 
 def to_utm(ways: DataFrame, epsg: int) -> DataFrame:
