@@ -213,6 +213,21 @@ def cropped_masks(spark, sf):
     return R.crop(m, w).groupBy("chip", "crop").agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
 
 
+_UC = "CAST('0x' || substr(md5('5|{0}|' || chip || '|' || crop || '|' || attempt), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+@query(
+    f"--with w AS (SELECT chip, crop, attempt, CAST(floor({_UC.format(1)} * 20) AS INTEGER) AS row0, CAST(floor({_UC.format(2)} * 20) AS INTEGER) AS col0 FROM (SELECT DISTINCT chip FROM mask), range(2) c(crop), range(4) a(attempt)),"
+    " s AS (SELECT w.*, (SELECT count(*) FROM mask m WHERE m.chip = w.chip AND m.row >= row0 AND m.row < row0 + 12 AND m.col >= col0 AND m.col < col0 + 12) / 144.0::DOUBLE AS share FROM w),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY chip, crop ORDER BY CASE WHEN share >= 0.2 THEN 0 ELSE 1 END, CASE WHEN share >= 0.2 THEN attempt ELSE -share END, row0, col0) AS r FROM s)"
+    " SELECT chip, CAST(crop AS INTEGER) AS crop, row0, col0, round(share, 9) AS share FROM r WHERE r = 1",
+    "mask",
+)
+def crop_draws(spark, sf):
+    x = chips.crop_windows(V.mask(spark, sf), _grids(spark, sf), 12, 2, 0.2, 5, attempts=4)
+    return rd(x.select("chip", "crop", "row0", "col0", "share"), "share", places=9)
+
+
 @query("SELECT l_returnflag AS band, round(avg(CASE WHEN l_discount > 0.02 AND l_tax < 0.05 THEN l_quantity / 50 ELSE 0 END), 9) AS data, round(avg(CASE WHEN l_discount > 0.02 AND l_tax < 0.05 THEN 1.0 ELSE 0.0 END), 9) AS indicator FROM lineitem GROUP BY 1")
 def observed_bands(spark, sf):
     li = V.table(spark, sf, "lineitem")

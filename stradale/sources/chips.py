@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import uniform
 from ..schema import PTS
 from .registry import TILES, register
 
@@ -107,7 +108,7 @@ def crop_windows(mask: DataFrame, grids: DataFrame, size: int, n: int, least: fl
 
     Draws are hashes of (seed, chip, crop, attempt); shares are counted by a join on windows.
     """
-    u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "chip", "crop", "attempt"), F.lit(1 << 30)) / float(1 << 30)
+    u = lambda salt: uniform(F.lit(seed), F.lit(salt), F.col("chip"), F.col("crop"), F.col("attempt"))
     w = grids.select("chip", "height", "width").withColumn("crop", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
     w = w.withColumn("row0", F.floor(u(1) * (F.col("height") - size + 1)).cast("int")).withColumn("col0", F.floor(u(2) * (F.col("width") - size + 1)).cast("int"))
     hit = mask.join(w, "chip").where((F.col("row") >= F.col("row0")) & (F.col("row") < F.col("row0") + size) & (F.col("col") >= F.col("col0")) & (F.col("col") < F.col("col0") + size))
