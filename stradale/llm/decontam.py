@@ -39,6 +39,19 @@ NOT_WORD = re.compile(r"[\W_]+")
 CACHE = 150_000
 
 
+class Numbers(dict):
+    """Tokens as they stand in texts -> word numbers of a vocabulary: -1 for other words, -2 for punctuation. Looked up as it grows."""
+
+    def __init__(self, vocab: dict[str, int]):
+        super().__init__()
+        self.vocab = vocab
+
+    def __missing__(self, token: str) -> int:
+        w = NOT_WORD.sub("", token)
+        v = self[token] = self.vocab.get(w, -1) if w else -2
+        return v
+
+
 class Index:
     """Seeds of a block of items, and the alignment with them."""
 
@@ -50,7 +63,7 @@ class Index:
         for k, t in sorted(items, key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1] or "")):
             if words := words_of(t):
                 self.items.append((k, np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], np.int64)))
-        self.raw: dict[str, int] = {}
+        self.raw = Numbers(self.vocab)
         held: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
         for i, (_, w) in enumerate(self.items):
             n = min(seed, len(w))
@@ -95,17 +108,10 @@ class Index:
 
     def numbers(self, text: str) -> np.ndarray:
         """Word numbers of a text, -1 for words of no item; tokens of punctuation only are left out."""
-        raw, vocab = self.raw, self.vocab
-        if len(raw) > CACHE:
-            raw.clear()
-        out = []
-        for x in text.lower().split():
-            v = raw.get(x)
-            if v is None:
-                w = NOT_WORD.sub("", x)
-                v = raw[x] = vocab.get(w, -1) if w else -2
-            out.append(v)
-        got = np.array(out, np.int64)
+        if len(self.raw) > CACHE:
+            self.raw.clear()
+        words = text.lower().split()
+        got = np.fromiter(map(self.raw.__getitem__, words), np.int64, len(words))
         return got[got != -2]
 
     def passages(self, w: np.ndarray) -> list[tuple[int, int, int]]:
