@@ -88,8 +88,8 @@ def heights(
     return np.clip(z + rng.normal(0, noise, mask.shape), 0, None), np.clip(r + rng.normal(0, noise, mask.shape), 0, 1)
 
 
-def deck_lift(shape: tuple[int, int], decks: list[tuple[np.ndarray, tuple[float, float]]], height: float = 6.0, radius: float = 14.0, half_width: int = 2) -> np.ndarray:
-    """How far decks rise: each is (its road's pixels as a mask, the crossing point); back to grade over `radius`.
+def deck_lift(shape: tuple[int, int], decks: list[tuple[np.ndarray, tuple[float, float]]], height: float = 6.0, radius: float = 14.0) -> np.ndarray:
+    """How far decks rise: each is (its road's pixels as a mask, the crossing point); a bell of deviation `radius` round it.
 
     Where several decks meet, the highest counts.
     """
@@ -97,7 +97,7 @@ def deck_lift(shape: tuple[int, int], decks: list[tuple[np.ndarray, tuple[float,
     rows, cols = np.indices(shape)
     for road, (x, y) in decks:
         far = np.hypot(cols - x, rows - y)
-        out = np.maximum(out, np.where(road, height * np.clip(1 - far / radius, 0, 1), 0))
+        out = np.maximum(out, np.where(road, height * np.exp(-0.5 * (far / radius) ** 2), 0))
     return out
 
 

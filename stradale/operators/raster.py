@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import fields, kernels
+from . import spatial
 from .graph import by_graph, points
 
 KEYS = ["chip", "row", "col"]
@@ -69,6 +70,23 @@ def draw_edges(edges: DataFrame, grids: DataFrame, half_width: int = 2) -> DataF
     return by_graph(both, "chip").applyInPandas(run, "chip string, row int, col int")
 
 
+def overpass_lift(edges: DataFrame, grids: DataFrame, height: float = 6.0, radius: float = 14.0, half_width: int = 2) -> DataFrame:
+    """chip, row, col, lift: the deck of the first of two edges that cross without a shared node rises round the crossing.
+
+    Chips without such a crossing have no rows.
+    """
+    pairs = spatial.crossing_pairs(edges).select(F.col("graph_id").alias("chip"), F.col("a").alias("edge"), F.col("at.x").alias("x"), F.col("at.y").alias("y"))
+    decks = pairs.join(edges.select(F.col("graph_id").alias("chip"), "edge", "pts"), ["chip", "edge"]).join(grids.select("chip", "height", "width"), "chip")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        shape = int(rows.height.iloc[0]), int(rows.width.iloc[0])
+        z = fields.deck_lift(shape, [(kernels.draw([points(p)], *shape, half_width), (x, y)) for p, x, y in zip(rows.pts, rows.x, rows.y)], height, radius)
+        r, c = np.nonzero(z)
+        return pd.DataFrame({"chip": key[0], "row": r.astype(np.int32), "col": c.astype(np.int32), "lift": z[r, c]})
+
+    return by_graph(decks, "chip").applyInPandas(run, "chip string, row int, col int, lift double")
+
+
 def dihedral_pixels(mask: DataFrame, n: int, index: int) -> DataFrame:
     from ..functions.geom import dihedral
 

@@ -204,6 +204,16 @@ def test_synthetic_tiles_stand_alone(spark):
     assert lift[20, 20] == 6 and lift[20, 21] == 0 and 0 < lift[10, 20] < 6
 
 
+def test_overpasses_rise(spark):
+    line = lambda g, i, u, v, *p: (g, i, u, v, [{"x": float(x), "y": float(y)} for x, y in p])
+    rows = [line("a", 0, 0, 1, (5, 20), (35, 20)), line("a", 1, 2, 3, (20, 5), (20, 35)), line("b", 0, 0, 1, (5, 20), (20, 20)), line("b", 1, 1, 2, (20, 20), (20, 35))]
+    edges = spark.createDataFrame(rows, "graph_id string, edge long, u long, v long, pts array<struct<x:double,y:double>>")
+    grids = spark.createDataFrame([("a", 40, 40), ("b", 40, 40)], "chip string, height int, width int")
+    got = {(r["row"], r["col"]): r["lift"] for r in R.overpass_lift(edges, grids, 6.0, 5.0, 1).where("chip = 'a'").collect()}
+    assert R.overpass_lift(edges, grids).where("chip = 'b'").count() == 0  # they share a node
+    assert got[20, 20] == pytest.approx(6) and got[20, 25] == pytest.approx(6 * math.exp(-0.5)) and (25, 20) not in got and {r for r, _ in got} == {19, 20, 21}
+
+
 def test_tile_sources(spark, tmp_path):
     src = registry.TableSource(spark.createDataFrame([("b", 0, 0, 1.0), ("a", 0, 0, 2.0), ("a", 0, 1, 3.0)], "chip string, row int, col int, value double"))
     ids = src.ids()
