@@ -78,13 +78,13 @@ def random_split(placement: DataFrame, fraction: float, seed: int) -> DataFrame:
 def blocked(placement: DataFrame, fraction: float, block_m: float, order: DataFrame | None = None, seed: int = 0, buffer_m: float | None = None) -> DataFrame:
     """Whole blocks held out; with a buffer, training samples nearer than it to a held-out one are dropped.
 
-    order: (group, ord) of blocks; by default a seeded permutation. Columns: sample_id, pos, x, y, block, side.
+    order: (group, ord) of blocks, equal places by their numbers; by default a seeded permutation. Columns: sample_id, pos, x, y, block, side.
     """
     p = block_index(placement, block_m)
     sizes = p.groupBy(F.col("block").alias("group")).agg(F.count(F.lit(1)).alias("size"))
     if order is None:
         order = shuffled_groups(placement.sparkSession, sizes.count(), seed)
-    held = hold_out_groups(sizes.join(order, "group"), fraction, F.col("ord")).where("held").select(F.col("group").alias("block"), F.lit(True).alias("_held"))
+    held = hold_out_groups(sizes.join(order, "group"), fraction, F.struct("ord", "group")).where("held").select(F.col("group").alias("block"), F.lit(True).alias("_held"))
     p = p.join(held, "block", "left").withColumn("side", F.when(F.col("_held"), "val").otherwise("train")).drop("_held")
     if buffer_m:
         near = too_near(p.where("side = 'train'"), p.where("side = 'val'"), buffer_m)

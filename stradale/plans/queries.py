@@ -577,7 +577,7 @@ _HOLD = _BLOCK + ", g AS (SELECT block, count(*) AS size FROM k GROUP BY block),
 
 def _blocks(spark, sf, buffer=None):
     p = V.placement(spark, sf)
-    order = P.block_index(p, 1280.0).select(F.col("block").alias("group")).distinct().withColumn("ord", (F.col("group") * 7 + 3) % 11 * 1000 + F.col("group"))
+    order = P.block_index(p, 1280.0).select(F.col("block").alias("group")).distinct().withColumn("ord", (F.col("group") * 7 + 3) % 11)
     return P.blocked(p, 0.2, 1280.0, order, buffer_m=buffer)
 
 
