@@ -8,7 +8,7 @@ from stradale.plans import ORACLE, QUERIES
 
 from .test_queries import normal
 
-NAMES = ["hold_out_blocks", "split_adjacency", "split_digest"]
+NAMES = ["hold_out_blocks", "split_adjacency", "split_digest", "buffered_drop"]
 
 
 @pytest.fixture(scope="module")
