@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from ..store import unsent
 
 HIGHWAYS = ("motorway", "primary_link", "residential", "service", "footway", "living_street", "track", "unclassified", "trunk")
 TAGS = ('"access"=>"private"', '"service"=>"alley","lanes"=>"2"', '"area"=>"yes"', '"bicycle:access"=>"private","lanes"=>"4"', '"motor_vehicle"=>"no"', '"lanes"=>"1"')
@@ -30,7 +31,7 @@ def placement(spark: SparkSession, sf: str) -> DataFrame:
 def way_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of ways: the lines of an order."""
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    j = li.join(unsent(o), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(F.col("l_suppkey").cast("string").alias("chip"), F.col("l_orderkey").alias("way"), F.col("o_orderpriority").alias("klass"), F.col("l_quantity").cast("double").alias("node_length"))
 
 

@@ -42,6 +42,14 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df for a join on its keys that sends neither side to the driver.
+
+    Spark's size checks go by a file's bytes, of which rows in memory can take a hundred times as many.
+    """
+    return df.hint("merge")
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the folders that `stored` writes within this block at its end; what leaves it must be stored after it."""

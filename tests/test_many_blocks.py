@@ -8,7 +8,7 @@ from stradale.plans import ORACLE, QUERIES
 
 from .test_queries import normal
 
-NAMES = ["hold_out_blocks", "split_adjacency", "split_digest", "buffered_drop"]
+NAMES = ["hold_out_blocks", "split_adjacency", "split_digest", "buffered_drop", "split_leakage"]
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +30,9 @@ def test_beyond_a_thousand_blocks(spark, wide, name):
         c.execute(f"create view {t} as select * from '{wide}/{t}.parquet'")
     a, b = normal(QUERIES[name](spark, wide).toPandas()), normal(c.execute(ORACLE[name]).df())
     pd.testing.assert_frame_equal(a, b, check_dtype=False, atol=1e-8)
+
+
+def test_lines_and_orders_are_not_sent_to_the_driver(spark, wide):
+    from stradale.plans import views
+
+    assert "Broadcast" not in views.way_nodes(spark, wide)._jdf.queryExecution().executedPlan().toString()
