@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom, kernels
-from ..store import stored
+from ..store import stored, unsent
 from . import spatial
 
 
@@ -284,5 +284,5 @@ def trace(masks: DataFrame, grids: DataFrame) -> tuple[DataFrame, DataFrame]:
         m[on.row.astype(int), on.col.astype(int)] = True
         return repack(key[0], kernels.trace(m))
 
-    both = grids.join(masks, "chip", "left").select(F.col("chip").alias("graph_id"), "height", "width", "row", "col")
+    both = grids.join(unsent(masks), "chip", "left").select(F.col("chip").alias("graph_id"), "height", "width", "row", "col")
     return split_packed(by_graph(both).applyInPandas(run, PACKED))

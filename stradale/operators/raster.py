@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields, kernels
+from ..store import unsent
 from . import spatial
 from .graph import by_graph, points
 
@@ -102,11 +103,11 @@ def crop(mask: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def punch_gaps(mask: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Pixels outside all gap squares (chip, row0, col0, size)."""
-    hit = mask.join(gaps, "chip").where(
-        (F.col("row") >= F.col("row0")) & (F.col("row") < F.col("row0") + F.col("size")) & (F.col("col") >= F.col("col0")) & (F.col("col") < F.col("col0") + F.col("size"))
-    )
-    return mask.join(hit.select(*KEYS).distinct(), KEYS, "left_anti")
+    """Pixels outside all gap squares (chip, row0, col0, size); a chip's squares meet its pixels as one list."""
+    inside = lambda v, a, g: (v >= a) & (v < a + g["size"])
+    hit = F.exists("_gaps", lambda g: inside(F.col("row"), g["row0"], g) & inside(F.col("col"), g["col0"], g))
+    lists = gaps.groupBy("chip").agg(F.collect_list(F.struct("row0", "col0", "size")).alias("_gaps"))
+    return mask.join(unsent(lists), "chip", "left").where(~F.coalesce(hit, F.lit(False))).select(*mask.columns)
 
 
 def purity(samples: DataFrame, mask: DataFrame, by: list[str]) -> DataFrame:
