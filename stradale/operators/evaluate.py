@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import logit, ratio
-from ..store import stored
+from ..store import stored, unsent
 from . import candidates, coverage, metrics, raster
 from . import graph as G
 
@@ -33,7 +33,7 @@ def point_name(*parts: Column) -> Column:
 def fanned(df: DataFrame, points: DataFrame, key: str = "graph_id") -> DataFrame:
     """Rows repeated for each of their graph's points (graph_id, point), renamed to it."""
     p = points.select(F.col("graph_id").alias(key), "point")
-    return df.join(p, key).withColumn(key, F.col("point")).drop("point")
+    return unsent(df).join(p, key).withColumn(key, F.col("point")).drop("point")
 
 
 def named(pixels: DataFrame, by: str) -> DataFrame:

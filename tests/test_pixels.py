@@ -2,7 +2,7 @@
 
 import pytest
 
-from stradale.operators import coverage, graph, raster
+from stradale.operators import coverage, evaluate, graph, raster
 from stradale.store import stored
 
 
@@ -28,6 +28,11 @@ def test_pixels_are_not_broadcast_for_tracing(scene):
     assert "Broadcast" not in plan(graph.trace(mask, grids)[1])
 
 
+def test_pixels_are_not_broadcast_for_grid_points(spark, scene):
+    points = spark.sql("select explode(array('a', 'b')) as graph_id").selectExpr("graph_id", "concat(graph_id, '1') as point")
+    assert "Broadcast" not in plan(evaluate.fanned(scene[0], points, "chip"))
+
+
 def test_gaps_one_by_one(spark, scene):
     gaps = spark.createDataFrame([("a", 0, 0, 5), ("a", 3, 3, 5), ("a", 38, 38, 5), ("d", 0, 0, 40)], "chip string, row0 int, col0 int, size int")
     got = {(r.chip, r.row, r.col) for r in raster.punch_gaps(scene[0], gaps).collect()}
