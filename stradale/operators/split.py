@@ -25,13 +25,15 @@ SIDES = ("train", "val", "dropped")
 
 
 def block_index(placement: DataFrame, block_m: float) -> DataFrame:
-    """placement with `block`: dense numbers of grid blocks, by x then y. The grid starts at the smallest x, y."""
+    """placement with `block`: dense numbers of grid blocks, by x then y, unplaced samples last. The grid starts at the smallest x, y."""
     if block_m <= 0:
         raise ValueError("a block has a positive size")
     lo = placement.agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))  # one row
     p = placement.join(F.broadcast(lo)).withColumn("bx", F.floor((F.col("x") - F.col("_x0")) / block_m)).withColumn("by", F.floor((F.col("y") - F.col("_y0")) / block_m))
-    blocks = p.select("bx", "by").distinct().withColumn("block", (F.dense_rank().over(Window.orderBy("bx", "by")) - 1).cast("long"))
-    return p.join(blocks, ["bx", "by"]).drop("_x0", "_y0", "bx", "by")
+    by_place = Window.orderBy(F.asc_nulls_last("_bx"), F.asc_nulls_last("_by"))
+    blocks = p.select(F.col("bx").alias("_bx"), F.col("by").alias("_by")).distinct().withColumn("block", (F.dense_rank().over(by_place) - 1).cast("long"))
+    same = F.col("bx").eqNullSafe(F.col("_bx")) & F.col("by").eqNullSafe(F.col("_by"))
+    return p.join(blocks, same).drop("_x0", "_y0", "bx", "by", "_bx", "_by")
 
 
 def target_size(n: Column, fraction: float) -> Column:
@@ -104,9 +106,10 @@ def adjacency(assigned: DataFrame, touch_m: float) -> DataFrame:
 
     The exact nearest distance needs no radius: cells double in size until every held-out sample has
     met a training sample. Each pass is a grid join of the samples that are left, stored as it is made.
+    Samples without a place have no distance.
     """
     spark = assigned.sparkSession
-    sides = stored(spark, assigned.select("sample_id", "x", "y", "side"), "sides")
+    sides = stored(spark, assigned.select("sample_id", "x", "y", "side").dropna(subset=["x", "y"]), "sides")
     train = sides.where("side = 'train'").drop("side")
     left = sides.where("side = 'val'").drop("side")
     reach, parts = float(touch_m), []

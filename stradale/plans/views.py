@@ -24,7 +24,7 @@ def placement(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, sf, "supplier").select(
         k.cast("string").alias("sample_id"), k.cast("int").alias("pos"),
-        ((k % 10) * 320 + 160).cast("double").alias("x"), (F.floor(k / 10) * 320 - 160).cast("double").alias("y"),
+        ((k % 10) * 320 + 160).cast("double").alias("x"), (F.expr("s_suppkey div 10") * 320 - 160).cast("double").alias("y"),
     )
 
 

@@ -36,3 +36,21 @@ def test_lines_and_orders_are_not_sent_to_the_driver(spark, wide):
     from stradale.plans import views
 
     assert "Broadcast" not in views.way_nodes(spark, wide)._jdf.queryExecution().executedPlan().toString()
+
+
+#: Null keys, in the last block and in a held-out one of their own, and keys below zero.
+ODD = {
+    "null": [*range(0, 4000, 3), *[None] * 5],
+    "null_held": [0, 4, 8, 40, 44, 48, 80, 84, 88, None, None, None],
+    "below_zero": list(range(-2007, 2000, 3)),
+}
+
+
+@pytest.mark.parametrize("kind", ODD)
+@pytest.mark.parametrize("name", ["split_adjacency"])
+def test_odd_keys(spark, tmp_path, name, kind):
+    pd.DataFrame({"s_suppkey": pd.array(ODD[kind], "Int64")}).to_parquet(tmp_path / "supplier.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet'")
+    a, b = normal(QUERIES[name](spark, str(tmp_path)).toPandas()), normal(c.execute(ORACLE[name]).df())
+    pd.testing.assert_frame_equal(a.fillna("-"), b.fillna("-"), check_dtype=False, atol=1e-8)
