@@ -166,9 +166,9 @@ def worst_composition(comp: DataFrame) -> DataFrame:
 
 
 def side_digest(assigned: DataFrame, order: str = "pos") -> DataFrame:
-    """side, n, digest over the side's ids in order; a side is a list whose size a split file bounds."""
+    """side, n, digest over the side's ids in order (null without ids); a side is a list whose size a split file bounds."""
     ids = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col("sample_id")))), lambda s: s["sample_id"])
-    return assigned.groupBy("side").agg(F.count(F.lit(1)).alias("n"), scalars.digest(ids).alias("digest"))
+    return assigned.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.when(F.count("sample_id") > 0, scalars.digest(ids)).alias("digest"))
 
 
 def unknown_ids(assigned: DataFrame, source: DataFrame) -> DataFrame:
