@@ -47,7 +47,7 @@ ODD = {
 
 
 @pytest.mark.parametrize("kind", ODD)
-@pytest.mark.parametrize("name", ["split_adjacency", "split_digest"])
+@pytest.mark.parametrize("name", ["split_adjacency", "split_digest", "buffered_drop"])
 def test_odd_keys(spark, tmp_path, name, kind):
     pd.DataFrame({"s_suppkey": pd.array(ODD[kind], "Int64")}).to_parquet(tmp_path / "supplier.parquet")
     c = duckdb.connect()
