@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Bytes of an Arrow batch, where a session has Spark's default.
 BATCH_BYTES, DEFAULT_BATCH = 16 << 20, "67108864b"
+#: Rows of a Parquet batch in the JVM, and the setting that holds it.
+SCAN_ROWS, SCAN_SETTING = 64, "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,17 @@ def ship(spark: SparkSession) -> None:
     send(spark)
 
 
+@contextmanager
+def short_scans(spark: SparkSession) -> Iterator[None]:
+    """Jobs of this block read Parquet in batches of few rows, since the JVM holds a batch's whole texts at once."""
+    before = spark.conf.get(SCAN_SETTING)
+    spark.conf.set(SCAN_SETTING, str(min(int(before), SCAN_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(SCAN_SETTING, before)
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose text column holds about `limit` bytes, one row at least."""
     n = batch.num_rows

@@ -281,6 +281,14 @@ def test_rules_stay_on_the_jvm(spark, sf):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_rules_scan_texts_in_short_batches(spark, sf, monkeypatch):
+    name, seen, store = "spark.sql.parquet.columnarReaderBatchSize", [], rules.stored
+    before = spark.conf.get(name)
+    monkeypatch.setattr(rules, "stored", lambda s, df, tag: seen.append(int(s.conf.get(name))) or store(s, df, tag))
+    QUERIES["op9_quality_rules"](spark, sf).count()
+    assert seen == [64] and spark.conf.get(name) == before
+
+
 # --- near duplicates ---------------------------------------------------------------------------------------
 
 
