@@ -35,10 +35,6 @@ MIN_WORDS, SOFT_MIN_WORDS = 50, 60
 HOST_FACTOR = 2.0
 
 
-def _strip(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def repeated_words(words: Column) -> Column:
     """Words that lie in a 3-word window which is found twice or more, the first included.
 
@@ -90,8 +86,8 @@ def word_counts(df: DataFrame, key: str = "doc_id", text: str = "text", host: st
     split = df.select(
         F.col(key),
         F.col(host).alias("host"),
-        F.length(_strip(body, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(_strip(body, "#*$%&|<>"))).cast("long").alias("n_symbols"),
+        # in runs: translate() makes two objects of every character
+        F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.filter(F.split(body, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("_lines"),
         F.filter(F.split(body, SPACE + "+"), lambda x: x != "").alias("_words"),
     )
@@ -99,7 +95,7 @@ def word_counts(df: DataFrame, key: str = "doc_id", text: str = "text", host: st
         key,
         "host",
         F.size("_words").cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("n_lines"),

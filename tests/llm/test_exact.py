@@ -289,6 +289,14 @@ def test_rules_scan_texts_in_short_batches(spark, sf, monkeypatch):
     assert seen == [64] and spark.conf.get(name) == before
 
 
+def test_rules_make_no_object_of_every_character(spark):
+    texts = ["#*$%&|<>" * 9, "a#\U0001f600 \u00e9|\u2028b\r\n\x0b<\x0c\u00a0", "\n \t", "plain words", "#\n\n#\n#"]
+    counts = rules.word_counts(spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string"))
+    assert "translate" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    for r in counts.collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_counts(texts[r.doc_id])[:5]
+
+
 # --- near duplicates ---------------------------------------------------------------------------------------
 
 
