@@ -5,8 +5,10 @@ A configuration is a dict: mode (full, none, strips, blocks), endpoint_mass, low
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,11 @@ def draw_gaps(mask: DataFrame, n: int, seed: int, radius: int = 2) -> DataFrame:
     w = Window.partitionBy("chip").orderBy("_u", "row", "col")
     picked = mask.select(*KEYS).distinct().withColumn("_u", u).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
     return picked.select("chip", (F.col("row") - radius).alias("row0"), (F.col("col") - radius).alias("col0"), F.lit(2 * radius + 1).alias("size"))
+
+
+def first_drawn(chip: str, rows: np.ndarray, cols: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The places in a chip's pixels of the n that `draw_gaps` draws, in its order: for kernels that have a chip's pixels at hand."""
+    head, md5 = f"{seed}|gap|{chip}|".encode(), hashlib.md5
+    made = b"".join([md5(head + b"%d|%d" % p).digest() for p in zip(rows.tolist(), cols.tolist())])
+    u = np.frombuffer(made, ">u8")[::2] >> np.uint64(12)  # 13 hex digits
+    return np.lexsort((cols, rows, u))[:n]

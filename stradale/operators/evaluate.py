@@ -6,9 +6,12 @@ are scored by one job of grouped kernels; names are taken apart afterwards.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.scalars import logit, ratio
 from ..store import stored, unsent
 from . import candidates, coverage, metrics, raster
@@ -124,20 +127,49 @@ def score_arms(truth: Network, truth_mask: DataFrame, raw: Network, rows: DataFr
 
 
 def divergence(truth: Network, truth_mask: DataFrame, grids: DataFrame, counts: list[int], seeds: list[int], radius: int = 2, cleanup: tuple = CLEANUP) -> DataFrame:
-    """Means over seeds of pixel and route scores of a perfect mask with gaps punched in it: graph_id, gaps, iou, apls."""
-    masks = None
-    for n in counts:
-        for seed in seeds:
-            m = raster.punch_gaps(truth_mask, coverage.draw_gaps(truth_mask, n, seed, radius)).withColumn("p", F.lit(f"{n}{MARK}{seed}"))
-            masks = m if masks is None else masks.unionByName(m)
-    grid = F.explode(F.array(*[F.struct(F.lit(n).alias("gaps"), F.lit(s).alias("seed")) for n in counts for s in seeds]))
-    points = with_roads(truth)[0].select("graph_id").distinct().select("graph_id", grid.alias("g")).select("graph_id", "g.*")
-    points = points.withColumn("point", point_name(F.col("graph_id"), F.col("gaps"), F.col("seed")))
-    mask = stored(grids.sparkSession, named(masks, "p"), "masks")
-    net = G.clean(*G.trace(mask, fanned(grids, points, "chip")), *cleanup)
-    score = metrics.apls((fanned(truth[0], points), fanned(truth[1], points)), net).select(F.col("graph_id").alias("point"), "apls")
-    i = metrics.iou(mask, fanned(truth_mask, points, "chip"), points.select(F.col("point").alias("chip"))).select(F.col("chip").alias("point"), "iou")
-    return points.join(score, "point").join(i, "point").groupBy("graph_id", "gaps").agg(F.avg("iou").alias("iou"), F.avg("apls").alias("apls"))
+    """Means over seeds of pixel and route scores of a perfect mask with gaps punched in it: graph_id, gaps, iou, apls.
+
+    truth_mask: pixels (chip, row, col) or masks (`raster.BITS`). The gaps are those of `coverage.draw_gaps`. All points
+    of a chip are punched, traced and scored in one kernel, which takes the mask as one row: a row a pixel and point would
+    be thousands of times the input on disk.
+    """
+    counts, seeds = list(dict.fromkeys(counts)), list(dict.fromkeys(seeds))
+
+    def run(key: tuple, g_rows: pd.DataFrame, m_rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        g = G.unpack(g_rows)
+        if key[0] is not None and g.nodes and g.edges:
+            box = m_rows.dropna(subset=["bits"])
+            r, c = raster.unpacked(*box[["row0", "col0", "height", "width", "bits"]].iloc[0]) if len(box) else (np.zeros(0, np.int64),) * 2
+            grid = m_rows.dropna(subset=["grid_h"])
+            shape = (int(grid.grid_h.iloc[0]), int(grid.grid_w.iloc[0])) if len(grid) else None
+            drawn = {s: coverage.first_drawn(key[0], r, c, max(counts), s) for s in seeds} if max(counts) > 0 else {}
+            known: dict[bytes, float] = {}
+            for n in counts:
+                iou, apls = [], []
+                for s in seeds:
+                    stay = np.ones(len(r), bool)
+                    for k in drawn[s][:n] if n > 0 else ():
+                        stay &= (abs(r - r[k]) > radius) | (abs(c - c[k]) > radius)
+                    if (same := stay.tobytes()) not in known:
+                        known[same] = metrics.graph_apls(g, traced(r[stay], c[stay], shape))
+                    iou.append(stay.mean() if len(r) else 1.0)
+                    apls.append(known[same])
+                out.append((key[0], n, sum(iou) / len(seeds), sum(apls) / len(seeds)))
+        return pd.DataFrame(out, columns=["graph_id", "gaps", "iou", "apls"])
+
+    def traced(r: np.ndarray, c: np.ndarray, shape: tuple[int, int] | None) -> kernels.Graph:
+        """As `G.trace` and `G.clean` give it; no graph without a grid."""
+        if shape is None:
+            return kernels.Graph()
+        m = np.zeros(shape, bool)
+        m[r, c] = True
+        return G.by_id(G.by_id(kernels.trace(m)).cleaned(*cleanup))
+
+    m = truth_mask if "bits" in truth_mask.columns else raster.masks(truth_mask)
+    g = grids.select(F.col("chip").alias("graph_id"), F.col("height").alias("grid_h"), F.col("width").alias("grid_w"))
+    sides = m.withColumnRenamed("chip", "graph_id").unionByName(g, allowMissingColumns=True)
+    return G.by_graph(G.packed(*truth)).cogroup(G.by_graph(sides)).applyInPandas(run, "graph_id string, gaps int, iou double, apls double")
 
 
 def tuned_gallery(sweep: DataFrame, baseline: float, tuned: float, k: int) -> tuple[DataFrame, DataFrame]:

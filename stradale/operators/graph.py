@@ -131,6 +131,11 @@ def repack(graph_id: str, g: kernels.Graph, more: list[tuple] | None = None) ->
     return got.astype({"u": "Int64", "v": "Int64"})
 
 
+def by_id(g: kernels.Graph) -> kernels.Graph:
+    """g with its nodes in the order that `repack` and `unpack` would leave them in."""
+    return kernels.Graph(dict(sorted(g.nodes.items())), g.edges)
+
+
 def split_packed(made: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a packed table."""
     n = made.where("part = 'n'").select("graph_id", F.col("id").alias("node"), F.get("px", F.lit(0)).alias("x"), F.get("py", F.lit(0)).alias("y"))

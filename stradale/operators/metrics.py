@@ -24,6 +24,46 @@ def roles(truth: tuple[DataFrame, DataFrame], proposal: tuple[DataFrame, DataFra
     return packed(*truth).withColumn("role", F.lit("t")).unionByName(packed(*proposal).withColumn("role", F.lit("p")))
 
 
+def directed(
+    a: kernels.Graph, b: kernels.Graph, spacing: float = 50.0, max_snap: float = 25.0,
+    sampling: str = "reference", max_control: int | None = None, seed: int = 0,
+) -> tuple[dict, int, int]:
+    """(pairs, control points, those that land) of routes in a and in b; no pairs without control points."""
+    dense = a.densify(spacing, sampling)
+    control = list(dense.nodes)
+    if max_control is not None and len(control) > max_control:
+        rng = np.random.default_rng(seed)
+        control = [control[i] for i in rng.choice(len(control), max_control, False)]
+    if not control:
+        return {}, 0, 0
+    other, landed = b.inject(np.array([dense.nodes[n] for n in control], float), max_snap)
+    la = dense.distances_among(control)
+    i, j = np.nonzero(np.triu(np.isfinite(la), 1))
+    on = np.array([x is not None for x in landed])
+    spots = sorted({x for x in landed if x is not None})
+    place = {x: k for k, x in enumerate(spots)}
+    at = np.array([place.get(x, -1) for x in landed])
+    both = on[i] & on[j]
+    lb = np.full(len(i), np.nan)
+    if both.any():
+        lb[both] = other.distances_among(spots)[at[i[both]], at[j[both]]]
+    return {"i": i, "j": j, "la": la[i, j], "lb": lb, "landed": both}, len(control), int(on.sum())
+
+
+def graph_apls(truth: kernels.Graph, proposal: kernels.Graph, min_length: float = 10.0, **how) -> float:
+    """What `apls` gives for one graph, without a row a pair."""
+    side = []
+    for a, b in ((truth, proposal), (proposal, truth)):
+        pairs, _, _ = directed(a, b, **how)
+        score = np.zeros(0)
+        if pairs:
+            counted = pairs["la"] >= min_length
+            la, lb = pairs["la"][counted], pairs["lb"][counted]
+            score = np.where(lb < math.inf, 1 - np.minimum(1.0, np.abs(la - lb) / la), 0.0)
+        side.append(float(score.mean()) if len(score) else 0.0)
+    return 2 * side[0] * side[1] / sum(side) if sum(side) else 0.0
+
+
 def route_pairs(
     truth: tuple[DataFrame, DataFrame], proposal: tuple[DataFrame, DataFrame], spacing: float = 50.0, max_snap: float = 25.0,
     sampling: str = "reference", max_control: int | None = None, seed: int = 0,
@@ -35,32 +75,11 @@ def route_pairs(
     of a direction without pairs.
     """
 
-    def directed(a: kernels.Graph, b: kernels.Graph) -> tuple[dict, int, int]:
-        dense = a.densify(spacing, sampling)
-        control = list(dense.nodes)
-        if max_control is not None and len(control) > max_control:
-            rng = np.random.default_rng(seed)
-            control = [control[i] for i in rng.choice(len(control), max_control, False)]
-        if not control:
-            return {}, 0, 0
-        other, landed = b.inject(np.array([dense.nodes[n] for n in control], float), max_snap)
-        la = dense.distances_among(control)
-        i, j = np.nonzero(np.triu(np.isfinite(la), 1))
-        on = np.array([x is not None for x in landed])
-        spots = sorted({x for x in landed if x is not None})
-        place = {x: k for k, x in enumerate(spots)}
-        at = np.array([place.get(x, -1) for x in landed])
-        both = on[i] & on[j]
-        lb = np.full(len(i), np.nan)
-        if both.any():
-            lb[both] = other.distances_among(spots)[at[i[both]], at[j[both]]]
-        return {"i": i, "j": j, "la": la[i, j], "lb": lb, "landed": both}, len(control), int(on.sum())
-
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         g = {r: unpack(rows[rows.role == r]) for r in ("t", "p")}
         parts = []
         for name, a, b in SIDES:
-            pairs, n, landed = directed(g[a], g[b])
+            pairs, n, landed = directed(g[a], g[b], spacing, max_snap, sampling, max_control, seed)
             if not len(pairs.get("i", ())):
                 pairs = {"i": [None], "j": [None], "la": [None], "lb": [None], "landed": [None]}
             got = pd.DataFrame(pairs).astype({"i": "Int64", "j": "Int64", "la": "Float64", "lb": "Float64", "landed": "boolean"})

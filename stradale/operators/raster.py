@@ -6,6 +6,8 @@ proportional to what is set, and partitions fall on (chip, row, col).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,8 @@ from . import spatial
 from .graph import by_graph, points
 
 KEYS = ["chip", "row", "col"]
+#: A mask as one row a chip: the box around its pixels, and a bit for each of the box.
+BITS = "chip string, row0 int, col0 int, height int, width int, bits binary"
 
 
 def _offsets(n: int, inside) -> Column:
@@ -71,6 +75,44 @@ def draw_edges(edges: DataFrame, grids: DataFrame, half_width: int = 2) -> DataF
     return by_graph(both, "chip").applyInPandas(run, "chip string, row int, col int")
 
 
+def packed(chip: str, r: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+    """Pixels of a chip as a row of BITS; no row without pixels."""
+    if not len(r):
+        return pd.DataFrame(columns=["chip", "row0", "col0", "height", "width", "bits"])
+    r0, c0 = int(r.min()), int(c.min())
+    box = np.zeros((int(r.max()) - r0 + 1, int(c.max()) - c0 + 1), bool)
+    box[r - r0, c - c0] = True
+    return pd.DataFrame([(chip, r0, c0, *box.shape, np.packbits(box).tobytes())], columns=["chip", "row0", "col0", "height", "width", "bits"])
+
+
+def unpacked(row0: int, col0: int, height: int, width: int, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of a mask's pixels, in order."""
+    shape = int(height), int(width)
+    r, c = np.nonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=math.prod(shape)).reshape(shape))
+    return r + int(row0), c + int(col0)
+
+
+def masks(pixels: DataFrame) -> DataFrame:
+    """Pixels (chip, row, col) as one row a chip (BITS)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return packed(key[0], rows.row.to_numpy(np.int64), rows.col.to_numpy(np.int64))
+
+    use = pixels.select(F.col("chip").cast("string").alias("chip"), "row", "col").dropna()
+    return by_graph(use, "chip").applyInPandas(run, BITS)
+
+
+def draw_masks(edges: DataFrame, grids: DataFrame, half_width: int = 2) -> DataFrame:
+    """`masks` of `draw_edges`, without a row a pixel between the two."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        m = kernels.draw([points(p) for p in rows.pts if p is not None], int(rows.height.iloc[0]), int(rows.width.iloc[0]), half_width)
+        return packed(key[0], *np.nonzero(m))
+
+    both = grids.join(edges.select(F.col("graph_id").alias("chip"), "pts"), "chip", "left")
+    return by_graph(both, "chip").applyInPandas(run, BITS)
+
+
 def overpass_lift(edges: DataFrame, grids: DataFrame, height: float = 6.0, radius: float = 14.0, half_width: int = 2) -> DataFrame:
     """chip, row, col, lift: the deck of the first of two edges that cross without a shared node rises round the crossing.
 

@@ -451,12 +451,17 @@ def drawn_gaps(spark, sf):
     return R.punch_gaps(m, K.draw_gaps(m, 4, 3)).groupBy("chip").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _scene(spark, sf):
-    """(truth, its drawn mask, grids) of 4 x 4 street grids in chips of 110 pixels."""
+def _streets(spark, sf):
+    """(truth, grids) of 4 x 4 street grids in chips of 110 pixels."""
     small = V.grid_nodes(spark, sf).withColumn("x", F.col("x") * 0.3 + 10).withColumn("y", F.col("y") * 0.3 + 10)
     e = V.grid_edges(spark, sf).withColumn("pts", F.transform("pts", lambda p: geom.point(p["x"] * 0.3 + 10, p["y"] * 0.3 + 10))).withColumn("length", F.col("length") * 0.3)
-    grids = _grids(spark, sf, 110)
-    return (small, e), stored(spark, R.draw_edges(e, grids, 2), "scene"), grids
+    return (small, e), _grids(spark, sf, 110)
+
+
+def _scene(spark, sf):
+    """(truth, its drawn mask, grids) of `_streets`."""
+    t, grids = _streets(spark, sf)
+    return t, stored(spark, R.draw_edges(t[1], grids, 2), "scene"), grids
 
 
 _TIDY = (1.0, 8.0, 4.0)
@@ -472,8 +477,8 @@ def tile_evaluation(spark, sf):
 
 @query()
 def gap_divergence(spark, sf):
-    t, mask, grids = _scene(spark, sf)
-    x = E.divergence(t, mask, grids, [0, 4, 12], [0, 1], 3, _TIDY)
+    t, grids = _streets(spark, sf)
+    x = E.divergence(t, R.draw_masks(t[1], grids, 2), grids, [0, 4, 12], [0, 1], 3, _TIDY)
     return rd(x.groupBy("gaps").agg(F.avg("iou").alias("iou"), F.avg("apls").alias("apls"), F.count(F.lit(1)).alias("n")), "iou", "apls")
 
 
