@@ -144,7 +144,7 @@ def divergence(truth: Network, truth_mask: DataFrame, grids: DataFrame, counts:
             grid = m_rows.dropna(subset=["grid_h"])
             shape = (int(grid.grid_h.iloc[0]), int(grid.grid_w.iloc[0])) if len(grid) else None
             drawn = {s: coverage.first_drawn(key[0], r, c, max(counts), s) for s in seeds} if max(counts) > 0 else {}
-            known: dict[bytes, float] = {}
+            control, known = metrics.controls(g), {}
             for n in counts:
                 iou, apls = [], []
                 for s in seeds:
@@ -152,7 +152,7 @@ def divergence(truth: Network, truth_mask: DataFrame, grids: DataFrame, counts:
                     for k in drawn[s][:n] if n > 0 else ():
                         stay &= (abs(r - r[k]) > radius) | (abs(c - c[k]) > radius)
                     if (same := stay.tobytes()) not in known:
-                        known[same] = metrics.graph_apls(g, traced(r[stay], c[stay], shape))
+                        known[same] = metrics.graph_apls(g, control, traced(r[stay], c[stay], shape))
                     iou.append(stay.mean() if len(r) else 1.0)
                     apls.append(known[same])
                 out.append((key[0], n, sum(iou) / len(seeds), sum(apls) / len(seeds)))

@@ -24,20 +24,23 @@ def roles(truth: tuple[DataFrame, DataFrame], proposal: tuple[DataFrame, DataFra
     return packed(*truth).withColumn("role", F.lit("t")).unionByName(packed(*proposal).withColumn("role", F.lit("p")))
 
 
-def directed(
-    a: kernels.Graph, b: kernels.Graph, spacing: float = 50.0, max_snap: float = 25.0,
-    sampling: str = "reference", max_control: int | None = None, seed: int = 0,
-) -> tuple[dict, int, int]:
-    """(pairs, control points, those that land) of routes in a and in b; no pairs without control points."""
+def controls(a: kernels.Graph, spacing: float = 50.0, sampling: str = "reference", max_control: int | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of a's control points, lengths of the routes between them)."""
     dense = a.densify(spacing, sampling)
     control = list(dense.nodes)
     if max_control is not None and len(control) > max_control:
         rng = np.random.default_rng(seed)
         control = [control[i] for i in rng.choice(len(control), max_control, False)]
-    if not control:
+    at = np.array([dense.nodes[n] for n in control], float).reshape(-1, 2)
+    return at, dense.distances_among(control) if control else np.zeros((0, 0))
+
+
+def directed(control: tuple[np.ndarray, np.ndarray], b: kernels.Graph, max_snap: float = 25.0) -> tuple[dict, int, int]:
+    """(pairs, control points, those that land) of a graph's control points in b; no pairs without control points."""
+    spots_a, la = control
+    if not len(spots_a):
         return {}, 0, 0
-    other, landed = b.inject(np.array([dense.nodes[n] for n in control], float), max_snap)
-    la = dense.distances_among(control)
+    other, landed = b.inject(spots_a, max_snap)
     i, j = np.nonzero(np.triu(np.isfinite(la), 1))
     on = np.array([x is not None for x in landed])
     spots = sorted({x for x in landed if x is not None})
@@ -47,14 +50,14 @@ def directed(
     lb = np.full(len(i), np.nan)
     if both.any():
         lb[both] = other.distances_among(spots)[at[i[both]], at[j[both]]]
-    return {"i": i, "j": j, "la": la[i, j], "lb": lb, "landed": both}, len(control), int(on.sum())
+    return {"i": i, "j": j, "la": la[i, j], "lb": lb, "landed": both}, len(spots_a), int(on.sum())
 
 
-def graph_apls(truth: kernels.Graph, proposal: kernels.Graph, min_length: float = 10.0, **how) -> float:
-    """What `apls` gives for one graph, without a row a pair."""
+def graph_apls(truth: kernels.Graph, control: tuple[np.ndarray, np.ndarray], proposal: kernels.Graph, min_length: float = 10.0) -> float:
+    """What `apls` gives for one graph, without a row a pair. control: the truth's `controls`."""
     side = []
-    for a, b in ((truth, proposal), (proposal, truth)):
-        pairs, _, _ = directed(a, b, **how)
+    for c, b in ((control, proposal), (controls(proposal), truth)):
+        pairs, _, _ = directed(c, b)
         score = np.zeros(0)
         if pairs:
             counted = pairs["la"] >= min_length
@@ -79,7 +82,7 @@ def route_pairs(
         g = {r: unpack(rows[rows.role == r]) for r in ("t", "p")}
         parts = []
         for name, a, b in SIDES:
-            pairs, n, landed = directed(g[a], g[b], spacing, max_snap, sampling, max_control, seed)
+            pairs, n, landed = directed(controls(g[a], spacing, sampling, max_control, seed), g[b], max_snap)
             if not len(pairs.get("i", ())):
                 pairs = {"i": [None], "j": [None], "la": [None], "lb": [None], "landed": [None]}
             got = pd.DataFrame(pairs).astype({"i": "Int64", "j": "Int64", "la": "Float64", "lb": "Float64", "landed": "boolean"})
